@@ -6,18 +6,73 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import ngram_join
+from spindrift.llm import exact_dedup, line_dedup, ngram_join, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP1_SQL = r"""
+WITH p AS (
+  SELECT page_id,
+         CASE WHEN strpos(url, '://') > 0 THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+         row_number() OVER () AS rid
+  FROM pages),
+r AS (SELECT * FROM (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) v(rh, rp, verdict)),
+m AS (
+  SELECT p.rid, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+  FROM p JOIN r ON (p.host = rh OR suffix(p.host, '.' || rh)) AND starts_with(p.path, rp) GROUP BY p.rid)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (rid)
+"""
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "source", "n_lines", "n_dropped", "text")
+
+
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT rid, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d WHERE text IS NOT NULL),
+totals AS (SELECT source, count(*) AS total FROM d GROUP BY source),
+counts AS (SELECT source, trim(line) AS line, count(DISTINCT rid) AS pages FROM l WHERE trim(line) <> '' GROUP BY ALL),
+bad AS (SELECT c.source, c.line FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE pages >= {line_dedup.MIN_PAGES} AND pages > {line_dedup.RATIO}::DOUBLE * total),
+k AS (
+  SELECT l.rid, count(*) AS n_lines, count(bad.line) AS n_dropped, string_agg(l.line, chr(10) ORDER BY pos) FILTER (bad.line IS NULL) AS kept
+  FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND trim(l.line) = bad.line GROUP BY l.rid)
+SELECT doc_id, source, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+       CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text
+FROM d LEFT JOIN k USING (rid)
+"""
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_url_filters": (op1_url_filters, OP1_SQL),
+    "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
+    "op8_line_dedup": (op8_line_dedup, OP8_SQL),
     "op9_ngram_jaccard_join": (op9_ngram_jaccard_join, None),
 }
 

@@ -36,11 +36,11 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stage(df: DataFrame, *partition_by: str) -> DataFrame:
+def stage(df: DataFrame, *partition_by: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").options(**(options or {}))
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _WRITTEN[path] = spark
     return spark.read.schema(df.schema).parquet(path)
