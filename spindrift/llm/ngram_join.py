@@ -1,15 +1,16 @@
 """N-gram Jaccard self-join by prefix filters under several global token orders.
 
 A text's set holds its distinct runs of five words (64-bit hashes; two different runs share one with probability 2^-64).
-Two sets of Jaccard similarity t or more must share a token within their prefixes - the first n - ceil(t n) + 1 tokens -
-under *every* global order of the tokens. Candidates come from an inverted index over the prefixes of the first order;
-they stay only if their prefixes of the further orders meet too, and are then compared exactly.
-
-Rows never meet pairwise inside a group of copies. Equal sets are one node. A posting with two nodes is a candidate pair as
-it stands, from a ``min`` and a ``max`` that combine before the shuffle. A longer posting first offers its members against
-its smallest node; the links found join most of it into one component, and only pairs between different components are
-compared after that. Postings that stay long are dealt again under an order by rarity, which moves their common tokens out
-of the prefixes. No pair of nodes that could link different components is left out, so components are exact.
+Two sets of Jaccard similarity t or more share at least l tokens within their prefixes - the first n - ceil(t n) + l tokens -
+under *every* global order of the tokens, for every l up to the overlap that they need. Candidates come from an inverted
+index over the prefixes of a first order, which puts common tokens last and must give ``AGREE`` shared tokens; they stay only
+if their prefixes under the further orders meet too, and are then compared exactly.
+
+Rows never meet pairwise inside a group of copies. Equal sets are one node. A posting with two nodes is a pair as it stands,
+from a ``min`` and a ``max`` that combine before the shuffle. Short postings give their pairs; of those, each node is first
+compared with its smallest partner only, and later with partners that the links found so far leave in another component.
+Long postings offer their members against their smallest node, and what stays apart is dealt again under an order by exact
+rarity. No pair that could link different components is left out, so components are exact.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm import bitmap, textcore
@@ -27,13 +28,19 @@ from spindrift.llm.staging import discard, stage
 
 WIDTH = 5
 PERCENT = 75
-#: Postings of up to so many nodes give all their pairs between components at once.
-SHORT = 48
+#: Postings of up to so many nodes give all their pairs.
+SHORT = 32
+#: Prefix tokens that a pair must share, where its sets are that large.
+AGREE = 3
+#: Tokens that so many texts repeat within the blocks of tasks count as common: they come last in the first order.
+COMMON = 8
 _ORDERS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D))
 
 
-def prefix_length(n, percent: int):
-    return n - (percent * n + 99) // 100 + 1
+def prefix_length(n, percent: int, agree: int = 1):
+    """Prefix tokens of a set of ``n``: enough that similar sets share ``agree`` of them, or all that they need if fewer."""
+    need = (percent * n + 99) // 100
+    return n - need + min(agree, need)
 
 
 def token_sets(part: pa.RecordBatch, column: str, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -48,8 +55,10 @@ def token_sets(part: pa.RecordBatch, column: str, width: int) -> Iterator[tuple[
 
 
 def signature(tokens: np.ndarray) -> int:
-    """64-bit identity of a set: equal sets, and with overwhelming probability only those, share it."""
-    return int(textcore.mix(np.atleast_1d(textcore.mix(tokens * _ORDERS[0] + _ORDERS[1]).sum(dtype=np.uint64) + np.uint64(len(tokens))))[0])
+    """Identity of a set: its upper 62 bits are a hash that equal sets, and with overwhelming probability only those,
+    share; the lower two hold the size up to ``AGREE``."""
+    whole = textcore.mix(np.atleast_1d(textcore.mix(tokens * _ORDERS[0] + _ORDERS[1]).sum(dtype=np.uint64) + np.uint64(len(tokens))))
+    return int(whole[0]) & ~3 | min(len(tokens), AGREE)
 
 
 def _fresh(batches: Iterator[pa.RecordBatch], column: str, width: int, seen_limit: int = 200_000) -> Iterator[tuple[int, np.ndarray]]:
@@ -71,33 +80,59 @@ def _as_long(values: list) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
 
-def with_sets(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """``(id, sig, n)`` for each row: the identity and size of its shingle set; ``sig`` is null for an empty set."""
+def scan(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = WIDTH, block: int = 1_000_000) -> DataFrame:
+    """Two kinds of rows. ``(id, sig, n)`` for each text: the identity and size of its set, ``sig`` null for an empty one.
+    ``(token, texts)``, with ``sig`` and ``n`` null: tokens that several different sets within a block of a task hold."""
+
+    def counted(held):
+        tokens = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        count = np.diff(np.append(first, len(tokens)))
+        many = count > 1
+        k = int(many.sum())
+        none = pa.nulls(k, pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens[first[many]].view(np.int64)), pa.array(count[many].astype(np.int64))], names=["id", "sig", "n", "token", "texts"])
 
     def rows(batches):
+        held, size, seen = [], 0, set()
         for batch in batches:
             for part in textcore.slices(batch, text):
                 sigs, sizes = [], []
                 for _, tokens in token_sets(part, text, width):
                     sizes.append(len(tokens))
                     sigs.append(signature(tokens) if len(tokens) else 0)
+                    if len(tokens) and sigs[-1] not in seen:
+                        seen.add(sigs[-1])
+                        held.append(tokens)
+                        size += len(tokens)
                 sizes = np.array(sizes, dtype=np.int64)
                 sig = pa.array(np.array(sigs, dtype=np.uint64).view(np.int64), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), sig, pa.array(sizes)], names=["id", "sig", "n"])
+                none = pa.nulls(len(sizes), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), sig, pa.array(sizes), none, none], names=["id", "sig", "n", "token", "texts"])
+                if size > block:
+                    yield counted(held)
+                    held, size, seen = [], 0, set()
+        if held:
+            yield counted(held)
 
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias(text))
-    return source.mapInArrow(rows, "id long, sig long, n long")
+    return source.mapInArrow(rows, "id long, sig long, n long, token long, texts long")
 
 
-def postings(docs: DataFrame, text: str, width: int, percent: int, keep: np.ndarray | None = None) -> DataFrame:
-    """``(token, sig)`` for the prefix tokens of each text under the first order, ascending hashes; with ``keep``, only for
-    tokens that pass that bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(keep) if keep is not None else None
+def postings(docs: DataFrame, text: str, width: int, percent: int, common: np.ndarray, keep: np.ndarray | None = None) -> DataFrame:
+    """``(token, sig)`` for the prefix tokens of each text under the first order: those in the bitmap of common tokens
+    last, else by hash. With ``keep``, only tokens that pass that bitmap are returned."""
+    sc = docs.sparkSession.sparkContext
+    last, shared = sc.broadcast(common), sc.broadcast(keep) if keep is not None else None
 
     def rows(batches):
         tokens_out, sigs_out, held = [], [], 0
         for sig, tokens in _fresh(batches, text, width):
-            head = tokens[: prefix_length(len(tokens), percent)]
+            p = prefix_length(len(tokens), percent, AGREE)
+            late = bitmap.passes(last.value, tokens)
+            head = tokens[~late][:p]
+            if len(head) < p:
+                head = np.concatenate((head, tokens[late][: p - len(head)]))
             if shared is not None:
                 head = head[bitmap.passes(shared.value, head)]
             tokens_out.append(head)
@@ -138,7 +173,7 @@ def _sets_of(docs: DataFrame, sigs: DataFrame, text: str, width: int, percent: i
             yield flush()
 
     found = docs.select(F.col(text).cast("string").alias(text)).mapInArrow(rows, "sig long, n long, tokens array<long>, p2 array<long>, p3 array<long>")
-    return found.join(sigs, "sig", "left_semi").dropDuplicates(["sig"])
+    return found.dropDuplicates(["sig"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -157,66 +192,70 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``(token, sig, label)``: members of those postings that still hold more than one component."""
-    labels = components(links)
-    named = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", F.coalesce("label", "sig").alias("label"))
-    open_ = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return named.join(open_.select("token", "size"), "token")
-
-
-def _across(members: DataFrame) -> DataFrame:
-    """All pairs between different components within each posting."""
-    left = members.select("token", F.col("sig").alias("a"), F.col("label").alias("la"))
-    right = members.select("token", F.col("sig").alias("b"), F.col("label").alias("lb"))
-    return left.join(right, "token").where("a < b and la <> lb").select("a", "b").distinct()
-
-
 def _to_smallest(members: DataFrame) -> DataFrame:
     """Each posting's members against its smallest node."""
     least = members.groupBy("token").agg(F.min("sig").alias("a"))
     return members.join(least, "token").where("sig <> a").select("a", F.col("sig").alias("b")).distinct()
 
 
+def _within(members: DataFrame) -> DataFrame:
+    """All pairs within each posting, once for each posting."""
+    return members.select("token", F.col("sig").alias("a")).join(members.select("token", F.col("sig").alias("b")), "token").where("a < b").select("a", "b")
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    labels = stage(components(links))
+    end = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    named = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    return named.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
+def _across(members: DataFrame, links: DataFrame) -> DataFrame:
+    """All pairs between different components within each posting."""
+    labels = components(links).withColumnRenamed("node", "sig")
+    named = stage(members.join(labels, "sig", "left").select("token", "sig", F.coalesce("label", "sig").alias("label")))
+    open_ = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    left = stage(named.join(open_, "token", "left_semi"))
+    one, other = left.select("token", F.col("sig").alias("a"), F.col("label").alias("la")), left.select("token", F.col("sig").alias("b"), F.col("label").alias("lb"))
+    return one.join(other, "token").where("a < b and la <> lb").select("a", "b").distinct()
+
+
 def _by_rarity(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(token, sig)`` prefixes of these nodes under the order by how many of them hold a token, rarest first."""
-    nodes = members.select("sig").distinct()
-    tokens = sets.join(nodes, "sig", "left_semi").select("sig", "n", F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    common = tokens.join(counts.where("df > 1"), "token")
-    # tokens of one node come first in the order and can't be shared: they use up prefix places only
-    alone = sets.join(nodes, "sig", "left_semi").select("sig", "n").join(common.groupBy("sig").agg(F.count("*").alias("m")), "sig", "left")
+    nodes = stage(members.select("sig").distinct())
+    own = sets.join(nodes, "sig", "left_semi")
+    tokens = own.select("sig", F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    common = tokens.join(counts, "token")
+    # tokens that one node alone holds come first in the order; they can't be shared and only use up prefix places
+    alone = own.select("sig", "n").join(common.groupBy("sig").agg(F.count("*").alias("m")), "sig", "left")
     room = alone.select("sig", (F.expr(f"n - (({percent} * n + 99) div 100) + 1") - (F.col("n") - F.coalesce("m", F.lit(0)))).alias("room")).where("room > 0")
-    from pyspark.sql import Window
-
     ranked = common.join(room, "sig").withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("df", "token")))
     return ranked.where("r <= room").select("token", "sig")
 
 
-def links(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT, short: int = SHORT) -> DataFrame:
+def links(docs: DataFrame, common: np.ndarray, text: str = "text", width: int = WIDTH, percent: int = PERCENT, short: int = SHORT) -> DataFrame:
     """Links ``(a, b)`` between set identities whose components are those of all links."""
-    found = stage(
-        postings(docs, text, width, percent)
-        .groupBy("token")
-        .agg(F.min("sig").alias("a"), F.max("sig").alias("b"), F.count("*").alias("c"))
-        .where("a <> b")
-    )
+    sums = postings(docs, text, width, percent, common).groupBy("token").agg(F.min("sig").alias("a"), F.max("sig").alias("b"), F.count("*").alias("c"))
+    found = stage(sums.where("a <> b"))
     crowded = found.where("c > 2").select("token")
-    members = stage(postings(docs, text, width, percent, bitmap.build(crowded, "token")).join(crowded, "token", "left_semi").distinct())
-    pairs = stage(found.select("a", "b").unionByName(_to_smallest(members)).distinct())
-    nodes = stage(pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct())
-    sets = stage(_sets_of(docs, nodes, text, width, percent))
-    good = stage(verified(pairs, sets, percent))
-    left = stage(_labelled(members, good))
-    more = stage(verified(_across(left.where(F.col("size") <= short)), sets, percent))
-    good = good.unionByName(more)
-    long_ = left.where(F.col("size") > short)
-    if not long_.isEmpty():
-        dealt = stage(_by_rarity(long_, sets, percent))
+    members = stage(postings(docs, text, width, percent, common, bitmap.build(crowded, "token")).join(crowded, "token", "left_semi").distinct())
+    sizes = members.groupBy("token").agg(F.count("*").alias("size"))
+    few, many = members.join(sizes.where(F.col("size") <= short), "token", "left_semi"), stage(members.join(sizes.where(F.col("size") > short), "token", "left_semi"))
+    pairs = found.where("c = 2").select("a", "b").unionByName(_within(few)).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    pairs = stage(pairs.where(F.col("shared") >= F.least(F.expr("a & 3"), F.expr("b & 3"))).select("a", "b"))
+    first = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(_to_smallest(many)).distinct())
+    ends = pairs.unionByName(first)
+    sets = stage(_sets_of(docs, ends.select(F.col("a").alias("sig")).unionByName(ends.select(F.col("b").alias("sig"))), text, width, percent))
+    good = stage(verified(first, sets, percent))
+    good = stage(good.unionByName(verified(_apart(pairs, good), sets, percent)))
+    if not many.isEmpty():
+        dealt = stage(_by_rarity(many, sets, percent))
         good = stage(good.unionByName(verified(_to_smallest(dealt), sets, percent)))
-        rest = stage(_labelled(dealt, good).select("token", "sig", "label"))
-        good = stage(good.unionByName(verified(_across(rest), sets, percent)))
-    for used in (found, members, pairs, nodes, left):
+        good = stage(good.unionByName(verified(_across(dealt, good), sets, percent)))
+        discard(dealt)
+    for used in (found, members, many, pairs, first, sets):
         discard(used)
     return good
 
@@ -226,13 +265,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
 
     ``component_id`` is the smallest id that links reach, the row's own included. Nulls and texts without words have an
     empty set: they link with nothing and keep their own id. Repeated rows and equal texts share a component. A null id is
-    never the smallest; a component of null ids only has a null id. Columns other than ``id`` and ``text`` are not read.
+    never the smallest; a component of null ids only has a null id. Columns other than ``id`` and ``text`` are not read; an
+    empty table gives an empty result.
     """
-    named = stage(with_sets(docs, text, id, width))
-    labels = components(links(docs, text, width, percent, short))
+    scanned = stage(scan(docs, text, id, width))
+    named = scanned.where("n is not null").select("id", "sig", "n")
+    common = scanned.where("n is null").groupBy("token").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= COMMON)
+    labels = components(links(docs, bitmap.build(common, "token"), text, width, percent, short))
     reps = named.where("sig is not null").groupBy("sig").agg(F.min("id").alias("first"))
-    reps = reps.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("label", "sig").alias("label"))
-    least = reps.groupBy("label").agg(F.min("first").alias("component_id"))
+    reps = stage(reps.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("label", "sig").alias("label")))
+    least = stage(reps.groupBy("label").agg(F.min("first").alias("component_id")))
     final = stage(reps.join(least, "label").select("sig", "component_id"))
     out = named.join(final, "sig", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id")
