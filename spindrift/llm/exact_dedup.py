@@ -57,7 +57,7 @@ def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", keep: s
     if keep not in ("largest", "smallest"):
         raise ValueError("keep must be 'largest' or 'smallest'")
     named = _identified(docs, text, id, digest_bytes)
-    filters = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000", "parquet.bloom.filter.max.bytes": str(1 << 20)}
+    filters = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.candidates.number": "10", "parquet.bloom.filter.max.bytes": str(1 << 20)}
     level0 = stage(_flush(named, runs, keep), "run", options=filters)
     level1 = stage(_compact(level0, keep).sortWithinPartitions("digest"), options=filters)
     discard(level0)
