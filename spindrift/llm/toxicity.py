@@ -23,6 +23,8 @@ from spindrift.llm.sampling import fold, labelled
 #: The classifier is fitted on a sample of labelled rows bounded by these.
 SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 16_384
 TERMS = 4_000
+#: A term enters the lexicon if so many sampled rows hold it and this share of them is toxic, beyond chance.
+LEAST, PURITY = 4, 0.9
 GROUPS = 16
 STEMS = (4, 5, 6)
 THRESHOLD = 0.7
@@ -87,6 +89,20 @@ def _rows(column) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.unique(terms[:, at[d] : at[d + 1]]), shape[d]) for d in range(len(offsets) - 1)]
 
 
+def _copies(column) -> np.ndarray:
+    """Which texts share a least shingle, under any of four hashes, with an earlier one: near copies would count the words
+    of one text as evidence many times."""
+    hashes, at = textcore.shingles(*textcore.word_hashes(*textcore.buffers(column)))
+    seen: set[tuple[int, int]] = set()
+    out = np.zeros(len(at) - 1, dtype=bool)
+    for d in range(len(out)):
+        own = hashes[at[d] : at[d + 1]]
+        marks = {(k, int(textcore.mix(own ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))).min())) for k in range(4)} if len(own) else set()
+        out[d] = not seen.isdisjoint(marks)
+        seen |= marks
+    return out
+
+
 def _lexicon(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Terms whose documents are toxic far more often than all are, by a likelihood ratio that allows for how many terms
     are tried; strongest first."""
@@ -103,7 +119,8 @@ def _lexicon(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     share = hit / (hit + miss)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = hit * np.log(share / base) + np.where(miss > 0, miss * np.log((1 - share) / (1 - base)), 0)
-    keep = (share > 3 * base) & (share > 0.5) & (gain > np.log(len(seen) + 1) + 2) & (seen != 0)
+    tried = hit + miss >= LEAST
+    keep = tried & (share >= PURITY) & (share > 3 * base) & (gain > np.log(tried.sum() + 1) + 1) & (seen != 0)
     order = np.argsort(-gain[keep], kind="stable")
     return seen[keep][order][:TERMS]
 
@@ -138,9 +155,10 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.n
 
 def fit(texts, labels) -> Model:
     """A model from texts and their 0/1 labels. Without rows of both kinds, only the insult list speaks."""
-    toxic = np.array(labels, dtype=bool)
+    toxic, column = np.array(labels, dtype=bool), pa.array(texts, pa.string())
+    single = ~_copies(column)
+    toxic, column = toxic[single], column.filter(pa.array(single))
     rows: list[tuple[np.ndarray, np.ndarray]] = []
-    column = pa.array(texts, pa.string())
     for a in range(0, len(column), 500):
         rows += _rows(column.slice(a, 500))
     insults, _, _ = _terms(*textcore.buffers(pa.array(list(INSULTS))))
