@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, toxicity, url_filter
+from spindrift.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, passages, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(_table(spark, sf_dir, "documents"))
 
@@ -94,6 +98,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_url_filters": (op1_url_filters, OP1_SQL),
     "op2_decontamination": (op2_decontamination, None),
     "op4_byte_bpe": (op4_byte_bpe, None),
+    "op5_substring_dedup": (op5_substring_dedup, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
     "op7_language_id": (op7_language_id, None),
     "op8_line_dedup": (op8_line_dedup, OP8_SQL),
