@@ -9,7 +9,7 @@ if their prefixes under the further orders meet too, and are then compared exact
 Rows never meet pairwise inside a group of copies. Equal sets are one node. A posting with two nodes is a pair as it stands,
 from a ``min`` and a ``max`` that combine before the shuffle. Short postings give their pairs; of those, each node is first
 compared with its smallest partner only, and later with partners that the links found so far leave in another component.
-Long postings offer their members against their smallest node, and what stays apart is dealt again under an order by exact
+Long postings offer their members against the node that most postings hold, and what stays apart is dealt again under an order by exact
 rarity. No pair that could link different components is left out, so components are exact.
 """
 
@@ -34,6 +34,8 @@ SHORT = 32
 AGREE = 3
 #: Tokens that so many texts repeat within the blocks of tasks count as common: they come last in the first order.
 COMMON = 8
+#: 64-bit words of a set's sketch: each token flips one bit, so sketches differ in at most as many bits as sets in tokens.
+SKETCH = 16
 _ORDERS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D))
 
 
@@ -61,6 +63,13 @@ def signature(tokens: np.ndarray) -> int:
     return int(whole[0]) & ~3 | min(len(tokens), AGREE)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the tokens that fall on each bit."""
+    bit = (tokens * _ORDERS[1]) >> np.uint64(64 - 6 - (SKETCH - 1).bit_length())
+    odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _fresh(batches: Iterator[pa.RecordBatch], column: str, width: int, seen_limit: int = 200_000) -> Iterator[tuple[int, np.ndarray]]:
     """Signature and set of each text that has one; copies that the same task saw lately are passed over."""
     seen: set[int] = set()
@@ -148,7 +157,7 @@ def postings(docs: DataFrame, text: str, width: int, percent: int, common: np.nd
 
 
 def _sets_of(docs: DataFrame, sigs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """``(sig, n, tokens, p2, p3)`` of the given nodes: the whole set and its prefixes under the further orders."""
+    """``(sig, n, sketch, tokens, p2, p3)`` of the given nodes: the whole set and its prefixes under the further orders."""
     keep = docs.sparkSession.sparkContext.broadcast(bitmap.build(sigs, "sig"))
 
     def rows(batches):
@@ -156,15 +165,15 @@ def _sets_of(docs: DataFrame, sigs: DataFrame, text: str, width: int, percent: i
 
         def flush():
             return pa.RecordBatch.from_arrays(
-                [_as_long([r[0] for r in out]), pa.array([len(r[1]) for r in out], pa.int64()), *(pa.array([r[k].view(np.int64) for r in out], pa.list_(pa.int64())) for k in (1, 2, 3))],
-                names=["sig", "n", "tokens", "p2", "p3"],
+                [_as_long([r[0] for r in out]), pa.array([len(r[1]) for r in out], pa.int64()), *(pa.array([r[k].view(np.int64) for r in out], pa.list_(pa.int64())) for k in (4, 1, 2, 3))],
+                names=["sig", "n", "sketch", "tokens", "p2", "p3"],
             )
 
         held = 0
         for sig, tokens in _fresh(batches, text, width):
             if bitmap.passes(keep.value, np.array([sig], dtype=np.uint64))[0]:
                 p = prefix_length(len(tokens), percent)
-                out.append((sig, tokens, *(tokens[np.argsort(textcore.mix(tokens ^ o), kind="stable")[:p]] for o in _ORDERS)))
+                out.append((sig, tokens, *(tokens[np.argsort(textcore.mix(tokens ^ o), kind="stable")[:p]] for o in _ORDERS), sketch(tokens)))
                 held += len(tokens)
                 if held > 200_000:
                     yield flush()
@@ -172,7 +181,7 @@ def _sets_of(docs: DataFrame, sigs: DataFrame, text: str, width: int, percent: i
         if out:
             yield flush()
 
-    found = docs.select(F.col(text).cast("string").alias(text)).mapInArrow(rows, "sig long, n long, tokens array<long>, p2 array<long>, p3 array<long>")
+    found = docs.select(F.col(text).cast("string").alias(text)).mapInArrow(rows, "sig long, n long, sketch array<long>, tokens array<long>, p2 array<long>, p3 array<long>")
     return found.dropDuplicates(["sig"])
 
 
@@ -192,10 +201,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
-def _to_smallest(members: DataFrame) -> DataFrame:
-    """Each posting's members against its smallest node."""
-    least = members.groupBy("token").agg(F.min("sig").alias("a"))
-    return members.join(least, "token").where("sig <> a").select("a", F.col("sig").alias("b")).distinct()
+def _to_hub(members: DataFrame) -> DataFrame:
+    """Each posting's members against the one of them that most postings hold: what others were copied from."""
+    degree = members.groupBy("sig").agg(F.count("*").alias("degree"))
+    hubs = members.join(degree, "sig").groupBy("token").agg(F.max_by("sig", F.col("degree") * F.lit(1 << 40) + F.expr("sig & 1099511627775")).alias("hub"))
+    pairs = members.join(hubs, "token").where("sig <> hub").select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
+    return pairs.distinct()
 
 
 def _within(members: DataFrame) -> DataFrame:
@@ -211,14 +222,24 @@ def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return named.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _across(members: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs between different components within each posting."""
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``(token, sig, label)``: the postings that still hold more than one component."""
     labels = components(links).withColumnRenamed("node", "sig")
     named = stage(members.join(labels, "sig", "left").select("token", "sig", F.coalesce("label", "sig").alias("label")))
     open_ = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    left = stage(named.join(open_, "token", "left_semi"))
-    one, other = left.select("token", F.col("sig").alias("a"), F.col("label").alias("la")), left.select("token", F.col("sig").alias("b"), F.col("label").alias("lb"))
-    return one.join(other, "token").where("a < b and la <> lb").select("a", "b").distinct()
+    return named.join(open_, "token", "left_semi")
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs between different components within each posting, but for those whose sketches differ in more bits than
+    similar sets of their sizes may in tokens: what is left of a crowded posting after its links are found is compared here
+    within the join, and only few pairs leave it."""
+    full = members.join(sets.select("sig", "n", "sketch"), "sig")
+    side = lambda x: full.select("token", F.col("sig").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    apart = " + ".join(f"bit_count(sa[{k}] ^ sb[{k}])" for k in range(SKETCH))
+    fit = f"a < b and la <> lb and 100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * ({apart}) <= {100 - percent} * (na + nb)"
+    one, other = side("a"), side("b")
+    return one.join(other, (one["token"] == other["token"]) & F.expr(fit)).select("a", "b").distinct()
 
 
 def _by_rarity(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -245,15 +266,16 @@ def links(docs: DataFrame, common: np.ndarray, text: str = "text", width: int =
     few, many = members.join(sizes.where(F.col("size") <= short), "token", "left_semi"), stage(members.join(sizes.where(F.col("size") > short), "token", "left_semi"))
     pairs = found.where("c = 2").select("a", "b").unionByName(_within(few)).groupBy("a", "b").agg(F.count("*").alias("shared"))
     pairs = stage(pairs.where(F.col("shared") >= F.least(F.expr("a & 3"), F.expr("b & 3"))).select("a", "b"))
-    first = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(_to_smallest(many)).distinct())
+    first = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(_to_hub(many)).distinct())
     ends = pairs.unionByName(first)
     sets = stage(_sets_of(docs, ends.select(F.col("a").alias("sig")).unionByName(ends.select(F.col("b").alias("sig"))), text, width, percent))
     good = stage(verified(first, sets, percent))
     good = stage(good.unionByName(verified(_apart(pairs, good), sets, percent)))
-    if not many.isEmpty():
-        dealt = stage(_by_rarity(many, sets, percent))
-        good = stage(good.unionByName(verified(_to_smallest(dealt), sets, percent)))
-        good = stage(good.unionByName(verified(_across(dealt, good), sets, percent)))
+    left = stage(_open(many, good))
+    if not left.isEmpty():
+        dealt = stage(_by_rarity(left, sets, percent))
+        good = stage(good.unionByName(verified(_to_hub(dealt), sets, percent)))
+        good = stage(good.unionByName(verified(_across(stage(_open(dealt, good)), sets, percent), sets, percent)))
         discard(dealt)
     for used in (found, members, many, pairs, first, sets):
         discard(used)
