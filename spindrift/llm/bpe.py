@@ -271,9 +271,10 @@ class Codec:
 
 
 def _table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    """Open-addressed table of distinct keys, none of which is the greatest 64-bit number."""
     bits = max(10, int(np.ceil(np.log2(6 * len(keys) + 1))))
     shift = np.uint64(64 - bits)
-    held, out = np.full(1 << bits, ~np.uint64(0)), np.zeros(1 << bits, dtype=np.int32)
+    held, out = np.full(1 << bits, ~np.uint64(0)), np.zeros(1 << bits, dtype=values.dtype)
     slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
     todo = np.arange(len(keys))
     while len(todo):

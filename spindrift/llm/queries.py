@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, passages, toxicity, url_filter
+from spindrift.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, lm, ngram_join, passages, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm.score(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -97,6 +103,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_url_filters": (op1_url_filters, OP1_SQL),
     "op2_decontamination": (op2_decontamination, None),
+    "op3_lm_scoring": (op3_lm_scoring, None),
     "op4_byte_bpe": (op4_byte_bpe, None),
     "op5_substring_dedup": (op5_substring_dedup, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
