@@ -1 +1,107 @@
-"""Views that give the driver's tables the shapes the operators work on."""
+"""Views that give the driver's tables the shapes the operators work on, each with the SQL of the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from spindrift.plans.runtime import table
+
+_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+
+def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cyclic graph: a part calls the next one of its order, as sure as the return flag says."""
+    rows = table(spark, sf_dir, "lineitem")
+    following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*(c.strip() for c in _ORDER.split(","))))
+    sure = F.when(F.col("l_returnflag") == "A", "definite").when(F.col("l_returnflag") == "N", "probable").otherwise("inferred")
+    calls = rows.select(F.col("l_partkey").alias("caller"), following.alias("callee"), sure.alias("provenance"), F.col("l_linenumber").alias("line"))
+    return calls.where("callee is not null and caller <> callee")
+
+
+PART_CALLS = f"""part_calls AS (
+  SELECT caller, callee, provenance, line FROM (
+    SELECT l_partkey AS caller, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS callee,
+           CASE l_returnflag WHEN 'A' THEN 'definite' WHEN 'N' THEN 'probable' ELSE 'inferred' END AS provenance, l_linenumber AS line
+    FROM lineitem) WHERE callee IS NOT NULL AND caller <> callee)"""
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as symbols of the files that their brands are."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("file"))
+
+
+PART_FILES = "part_files AS (SELECT p_partkey AS node, p_brand AS file FROM part)"
+
+
+def supply_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layered graph: customers call parts, parts their suppliers."""
+    both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    one = both.select(F.concat(F.lit("cust:"), "o_custkey").alias("caller"), F.concat(F.lit("part:"), "l_partkey").alias("callee"))
+    two = both.select(F.concat(F.lit("part:"), "l_partkey").alias("caller"), F.concat(F.lit("supp:"), "l_suppkey").alias("callee"))
+    return one.unionByName(two).distinct().withColumn("provenance", F.lit("definite"))
+
+
+SUPPLY_CALLS = """supply_calls AS (
+  SELECT DISTINCT 'cust:' || o_custkey AS caller, 'part:' || l_partkey AS callee FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+  UNION SELECT DISTINCT 'part:' || l_partkey, 'supp:' || l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
+
+
+def user_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as version histories of their users."""
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type").isin("view", "click"), "ok").when(F.col("event_type") == "purchase", "oversized_warn").when(F.col("event_type") == "error", "corrupt").otherwise("stale")
+    version = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.select(F.lit("user").alias("kind"), F.col("user_id").alias("ref"), version.alias("version"), status.alias("status"), F.col("props").alias("summary"), F.col("ts").alias("created_at"))
+
+
+USER_VERSIONS = """user_versions AS (
+  SELECT 'user' AS kind, user_id AS ref, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version,
+         CASE event_type WHEN 'view' THEN 'ok' WHEN 'click' THEN 'ok' WHEN 'purchase' THEN 'oversized_warn' WHEN 'error' THEN 'corrupt' ELSE 'stale' END AS status,
+         props AS summary, ts AS created_at FROM events)"""
+
+CURRENT = """barriers AS (SELECT ref, coalesce(max(version) FILTER (status = 'stale'), 0) AS b FROM user_versions GROUP BY ref),
+current_versions AS (
+  SELECT kind, v.ref, max(version) FILTER (status IN ('ok', 'oversized_warn') AND version > b AND json_extract_string(summary, '$.k') IS NOT NULL) AS version,
+         arg_max(status, version) AS latest_status
+  FROM user_versions v JOIN barriers USING (ref) GROUP BY kind, v.ref)"""
+
+
+def usable_props():
+    return F.get_json_object("summary", "$.k").isNotNull()
+
+
+def part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as named symbols."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.col("p_name").alias("name"), F.col("p_brand").alias("short_name"), F.col("p_type").alias("path"), F.col("p_size").alias("line"))
+
+
+def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their source as name and their text in full."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("short"), F.col("text").alias("full"))
+
+
+def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as files in the folders of their region and nation."""
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    both = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    return both.select(F.concat_ws("/", "r_name", "n_name", F.concat(F.lit("s"), "s_suppkey")).alias("file"), F.col("s_suppkey").alias("suppkey"))
+
+
+FOLDERS = """folders AS (SELECT r_name || '/' || n_name || '/s' || s_suppkey AS file, s_suppkey AS suppkey
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def co_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between suppliers of the same part on neighbouring lines of an order, as files."""
+    rows = table(spark, sf_dir, "lineitem")
+    following = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy(*(c.strip() for c in _ORDER.split(","))))
+    pairs = rows.select(F.col("l_suppkey").alias("a"), following.alias("b"), F.col("l_partkey").alias("part")).where("b is not null")
+    f = folders(spark, sf_dir)
+    return pairs.join(f.select(F.col("suppkey").alias("a"), F.col("file").alias("source")), "a").join(f.select(F.col("suppkey").alias("b"), F.col("file").alias("target")), "b").select("source", "target", "part")
+
+
+CO_SUPPLY = f"""co_supply AS (
+  SELECT fa.file AS source, fb.file AS target, part FROM (
+    SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS b, l_partkey AS part FROM lineitem)
+  JOIN folders fa ON a = fa.suppkey JOIN folders fb ON b = fb.suppkey WHERE b IS NOT NULL)"""
