@@ -32,8 +32,8 @@ PERCENT = 75
 SHORT = 32
 #: Prefix tokens that a pair must share, where its sets are that large.
 AGREE = 3
-#: Tokens that so many texts repeat within the blocks of tasks count as common: they come last in the first order.
-COMMON = 8
+#: Tokens that more texts than this hold within their prefixes by hash are common: they come last in the first order.
+COMMON = 16
 #: 64-bit words of a set's sketch: each token flips one bit, so sketches differ in at most as many bits as sets in tokens.
 SKETCH = 16
 _ORDERS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x5851F42D4C957F2D))
@@ -89,43 +89,40 @@ def _as_long(values: list) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
 
-def scan(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = WIDTH, block: int = 1_000_000) -> DataFrame:
-    """Two kinds of rows. ``(id, sig, n)`` for each text: the identity and size of its set, ``sig`` null for an empty one.
-    ``(token, texts)``, with ``sig`` and ``n`` null: tokens that several different sets within a block of a task hold."""
-
-    def counted(held):
-        tokens = np.sort(np.concatenate(held))
-        first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-        count = np.diff(np.append(first, len(tokens)))
-        many = count > 1
-        k = int(many.sum())
-        none = pa.nulls(k, pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(tokens[first[many]].view(np.int64)), pa.array(count[many].astype(np.int64))], names=["id", "sig", "n", "token", "texts"])
+def with_sets(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = WIDTH) -> DataFrame:
+    """``(id, sig, n)`` for each row: the identity and size of its set; ``sig`` is null for an empty one."""
 
     def rows(batches):
-        held, size, seen = [], 0, set()
         for batch in batches:
             for part in textcore.slices(batch, text):
                 sigs, sizes = [], []
                 for _, tokens in token_sets(part, text, width):
                     sizes.append(len(tokens))
                     sigs.append(signature(tokens) if len(tokens) else 0)
-                    if len(tokens) and sigs[-1] not in seen:
-                        seen.add(sigs[-1])
-                        held.append(tokens)
-                        size += len(tokens)
                 sizes = np.array(sizes, dtype=np.int64)
                 sig = pa.array(np.array(sigs, dtype=np.uint64).view(np.int64), mask=sizes == 0)
-                none = pa.nulls(len(sizes), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), sig, pa.array(sizes), none, none], names=["id", "sig", "n", "token", "texts"])
-                if size > block:
-                    yield counted(held)
-                    held, size, seen = [], 0, set()
-        if held:
-            yield counted(held)
+                yield pa.RecordBatch.from_arrays([part.column(0), sig, pa.array(sizes)], names=["id", "sig", "n"])
 
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias(text))
-    return source.mapInArrow(rows, "id long, sig long, n long, token long, texts long")
+    return source.mapInArrow(rows, "id long, sig long, n long")
+
+
+def common_tokens(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """``(token)``: those that more than ``COMMON`` texts hold in their prefixes by hash alone."""
+
+    def rows(batches):
+        out, held = [], 0
+        for _, tokens in _fresh(batches, text, width):
+            out.append(tokens[: prefix_length(len(tokens), percent, AGREE)])
+            held += len(out[-1])
+            if held > 100_000:
+                yield pa.RecordBatch.from_arrays([_as_long(np.concatenate(out))], names=["token"])
+                out, held = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([_as_long(np.concatenate(out))], names=["token"])
+
+    found = docs.select(F.col(text).cast("string").alias(text)).mapInArrow(rows, "token long")
+    return found.groupBy("token").agg(F.count("*").alias("texts")).where(F.col("texts") > COMMON).select("token")
 
 
 def postings(docs: DataFrame, text: str, width: int, percent: int, common: np.ndarray, keep: np.ndarray | None = None) -> DataFrame:
@@ -290,10 +287,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wid
     never the smallest; a component of null ids only has a null id. Columns other than ``id`` and ``text`` are not read; an
     empty table gives an empty result.
     """
-    scanned = stage(scan(docs, text, id, width))
-    named = scanned.where("n is not null").select("id", "sig", "n")
-    common = scanned.where("n is null").groupBy("token").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= COMMON)
-    labels = components(links(docs, bitmap.build(common, "token"), text, width, percent, short))
+    named = stage(with_sets(docs, text, id, width))
+    common = bitmap.build(common_tokens(docs, text, width, percent), "token")
+    labels = components(links(docs, common, text, width, percent, short))
     reps = named.where("sig is not null").groupBy("sig").agg(F.min("id").alias("first"))
     reps = stage(reps.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("label", "sig").alias("label")))
     least = stage(reps.groupBy("label").agg(F.min("first").alias("component_id")))
