@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: White space that source hashes ignore: what Unicode and ASCII separators count as such (fixed values).
 _BLANKS = r"[\s\x1c-\x1f\x85   -     　]+"
@@ -27,7 +28,8 @@ def search_words(text: Column) -> Column:
 
 def word_prefix_count(words: Column, terms: list[str]) -> Column:
     """How many of the terms begin one of the words."""
-    hits = [F.exists(words, lambda w, t=t: F.startswith(w, F.lit(t))).cast("int") for t in terms]
+    begins = lambda t: F.exists(words, lambda w: F.startswith(w, F.lit(t))).cast("int")
+    hits = [begins(t) for t in terms]
     return sum(hits[1:], hits[0]) if hits else F.lit(0)
 
 
@@ -74,7 +76,7 @@ def layer_of(path: Column, layers: dict[str, list[str]], default: str = "Core")
     out = None
     for name, patterns in layers.items():
         wanted = F.array(*(F.lit(p.lower() + s) for p in patterns for s in ("", "s")))
-        out = (out or F).when(F.arrays_overlap(segments, wanted), name)
+        out = (F if out is None else out).when(F.arrays_overlap(segments, wanted), name)
     return F.lit(default) if out is None else out.otherwise(default)
 
 
@@ -93,6 +95,10 @@ def glob_regex(pattern: str) -> str:
     return f"(?s)^{out}$"
 
 
+def _any_fits(places: Column, pattern: str) -> Column:
+    return F.exists(places, lambda x: x.rlike(pattern) | F.element_at(F.split(x, "/"), -1).rlike(pattern))
+
+
 def excluded(path: Column, patterns: list[str]) -> Column:
     """Whether a pattern fits the base name, the path or any folder above it; ``**/`` may be left out, and a pattern that
     ends in a slash only fits folders."""
@@ -103,16 +109,14 @@ def excluded(path: Column, patterns: list[str]) -> Column:
     for p in patterns:
         only_folders, bare = p.endswith("/"), p.rstrip("/")
         for one in {bare, bare.removeprefix("**/")}:
-            r = glob_regex(one)
-            places = folders if only_folders else above
-            tests.append(F.exists(places, lambda x, r=r: x.rlike(r) | F.element_at(F.split(x, "/"), -1).rlike(r)))
+            tests.append(_any_fits(folders if only_folders else above, glob_regex(one)))
     out = F.lit(False)
     for t in tests:
         out = out | t
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; no built-in function measures it."""
     return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")

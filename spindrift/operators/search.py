@@ -36,14 +36,10 @@ def bm25(index: DataFrame, n_docs: DataFrame, terms: list[str], weights: dict[st
     document frequency only those with weight. ``n_docs`` holds the number of documents as ``docs``."""
     lengths = index.groupBy("doc").agg(F.sum("n").alias("length"))
     totals = lengths.agg(F.sum("length").alias("all"))
-    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("q"), F.lit(t).alias("term")) for i, t in enumerate(terms))))
-    query = index.sparkSession.range(1).select(wanted.alias("t")).select("t.*")
-    fits = F.expr("startswith(token, term)") if prefix else F.expr("token = term")
-    any_term = F.lit(False)
-    for t in terms:
-        any_term = any_term | (F.startswith("token", F.lit(t)) if prefix else F.col("token") == t)
+    fits = (lambda t: F.startswith("token", F.lit(t))) if prefix else (lambda t: F.col("token") == t)
+    matching = F.array_compact(F.array(*(F.when(fits(t), F.lit(i)) for i, t in enumerate(terms))))
     weigh = F.create_map(*(x for c, w in weights.items() for x in (F.lit(c), F.lit(float(w)))))
-    hits = index.where(F.col("column").isin(*weights)).where(any_term).join(F.broadcast(query), fits)
+    hits = index.where(F.col("column").isin(*weights)).withColumn("q", F.explode(matching))
     hits = hits.groupBy("doc", "q").agg(F.sum(weigh[F.col("column")] * F.col("n")).alias("f"))
     frequency = hits.groupBy("q").agg(F.count("*").alias("nq"))
     # one row of totals, and as many rows as the query has terms
