@@ -53,7 +53,7 @@ def markdown_table(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     separator = rows.where(F.col("value").rlike(r"^\s*\|?[\s:|-]*-{3,}[\s:|-]*$")).agg(F.min("line").alias("at"))
     data = rows.join(F.broadcast(separator), F.col("line") > F.col("at")).where(F.startswith(F.trim("value"), F.lit("|")))
-    return data.select("line", F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), F.trim).alias("cells"))
+    return data.select("line", F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x)).alias("cells"))
 
 
 def json_spec(spark: SparkSession, path: str, schema: str) -> DataFrame:
