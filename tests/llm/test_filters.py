@@ -189,7 +189,8 @@ def test_lm_is_a_distribution():
     _, _, ids, at = lm.spell(pa.array(["some words"]), use)
     size = len(model.classes)
     table = lm.within(model, np.arange(0), np.arange(0))
-    known = lm.prefixes(np.array([int(ids[0]) + 1, (int(ids[0]) + 1) | (int(ids[1]) + 1) << 16], dtype=np.uint64), np.array([5, 3]))
+    inside = int(np.flatnonzero(model.classes >= lm.BEGINNINGS)[70])
+    known = lm.prefixes(np.array([int(ids[0]) + 1, (int(ids[0]) + 1) | (inside + 1) << 16], dtype=np.uint64), np.array([5, 3]))
     every = np.arange(size, dtype=np.int32)
     texts = np.stack((np.full(size, ids[0], dtype=np.int32), every), axis=1).ravel()
     both = lm.text_logprobs(model, table, known, texts, np.arange(0, 2 * size + 1, 2))
