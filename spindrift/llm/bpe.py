@@ -23,7 +23,7 @@ from spindrift.llm import textcore
 #: Cells of one matrix; longest piece in bytes that is merged in a matrix.
 CELLS, WIDEST = 1 << 20, 512
 #: Pieces whose ids a worker keeps.
-CACHE = 1 << 20
+CACHE = 1 << 19
 NONE = np.int32(1 << 30)
 
 #: The pattern whose splitting ``pieces`` reproduces (fixed value).
