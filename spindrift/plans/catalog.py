@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from spindrift.plans import fact_queries, graph_queries, job_queries, text_queries, version_queries  # noqa: F401
+    from spindrift.plans import fact_queries, graph_queries, job_queries, text_queries, tool_queries, version_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
