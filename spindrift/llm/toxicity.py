@@ -184,8 +184,8 @@ def fit(texts, labels) -> Model:
     else:
         post, rates, discount = np.zeros(0), np.full((votes.shape[1], 2), 0.5), np.ones(votes.shape[1])
 
-    weights, pattern, bias = np.where(np.isin(keys, insults), 3.0, 1.0), np.zeros(3), -3.0
-    if len(rows):
+    weights, pattern, bias = np.where(np.isin(keys, insults), 5.0, 1.0), np.zeros(3), -3.0
+    if 0 < toxic.sum() < len(toxic):
         row_of = np.repeat(np.arange(len(rows)), [len(k) for k in present])
         flat = np.concatenate(present) if len(row_of) else np.zeros(0, dtype=np.int64)
         state = [np.zeros(len(keys) + 4) for _ in range(2)]
