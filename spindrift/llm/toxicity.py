@@ -103,18 +103,27 @@ def _copies(column) -> np.ndarray:
     return out
 
 
-def _lexicon(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def _batches(column, size: int = 500):
+    """Distinct terms and patterns of all texts, a few at a time; they are never held together."""
+    for a in range(0, len(column), size):
+        yield from _rows(column.slice(a, size))
+
+
+def _lexicon(column, toxic: np.ndarray) -> np.ndarray:
     """Terms whose documents are toxic far more often than all are, by a likelihood ratio that allows for how many terms
     are tried; strongest first."""
     base = toxic.mean() if len(toxic) else 0.0
     if not 0 < base < 1:
         return np.zeros(0, dtype=np.uint64)
-    seen = np.unique(np.concatenate([rows[i] for i in np.flatnonzero(toxic)]))
+    seen = np.zeros(0, dtype=np.uint64)
+    for terms, _ in _batches(column.filter(pa.array(toxic))):
+        seen = np.concatenate((seen, terms)) if len(seen) < 1 << 20 else np.unique(np.concatenate((seen, terms)))
+    seen = np.unique(seen)
     hit, miss = np.zeros(len(seen)), np.zeros(len(seen))
-    for terms, y in zip(rows, toxic):
+    for (terms, _), y in zip(_batches(column), toxic):
         k = np.searchsorted(seen, terms)
-        k = k[(k < len(seen))]
-        k = k[np.isin(seen[k], terms, assume_unique=True)]
+        inside = k < len(seen)
+        k = k[inside][seen[k[inside]] == terms[inside]]
         (hit if y else miss)[k] += 1
     share = hit / (hit + miss)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -158,27 +167,29 @@ def fit(texts, labels) -> Model:
     toxic, column = np.array(labels, dtype=bool), pa.array(texts, pa.string())
     single = ~_copies(column)
     toxic, column = toxic[single], column.filter(pa.array(single))
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for a in range(0, len(column), 500):
-        rows += _rows(column.slice(a, 500))
     insults, _, _ = _terms(*textcore.buffers(pa.array(list(INSULTS))))
     insults = np.unique(insults[0])
-    learned = _lexicon([r[0] for r in rows], toxic)
+    learned = _lexicon(column, toxic)
     keys = np.union1d(learned, insults)
-    index = [np.searchsorted(keys, t) for t, _ in rows]
-    present = [k[(k < len(keys))][keys[k[k < len(keys)]] == t[k < len(keys)]] for k, (t, _) in zip(index, rows)]
+    present, shapes = [], []
+    for terms, pattern in _batches(column):
+        k = np.searchsorted(keys, terms)
+        inside = k < len(keys)
+        present.append(k[inside][keys[k[inside]] == terms[inside]])
+        shapes.append(pattern)
+    n = len(column)
     strength = np.full(len(keys), len(learned))
     strength[np.searchsorted(keys, learned)] = np.arange(len(learned))
     group = np.where(np.isin(keys, insults), GROUPS, strength % GROUPS)
-    shape = np.array([p for _, p in rows]).reshape(len(rows), 3)
+    shape = np.array(shapes).reshape(n, 3)
 
-    votes = np.zeros((len(rows), GROUPS + 1 + 3 + 1))
+    votes = np.zeros((n, GROUPS + 1 + 3 + 1))
     for i, k in enumerate(present):
         votes[i, group[k]] = 1
     votes[:, GROUPS + 1 : GROUPS + 4] = shape > 0.5
     votes[:, -1] = votes[:, : GROUPS + 1].max(axis=1, initial=0) == 0
     names = [f"lexicon{g}" for g in range(GROUPS)] + ["insults", "exclamation", "capitals", "drawn_out", "clean"]
-    if len(rows):
+    if n:
         prior = float(np.clip(toxic.mean(), 0.01, 0.99))
         post, rates, discount = label_model(votes, prior)
     else:
@@ -186,13 +197,13 @@ def fit(texts, labels) -> Model:
 
     weights, pattern, bias = np.where(np.isin(keys, insults), 5.0, 1.0), np.zeros(3), -3.0
     if 0 < toxic.sum() < len(toxic):
-        row_of = np.repeat(np.arange(len(rows)), [len(k) for k in present])
+        row_of = np.repeat(np.arange(n), [len(k) for k in present])
         flat = np.concatenate(present) if len(row_of) else np.zeros(0, dtype=np.int64)
         state = [np.zeros(len(keys) + 4) for _ in range(2)]
         theta = np.concatenate((weights, pattern, [bias]))
         for step in range(1, 301):
-            logit = np.bincount(row_of, theta[flat], len(rows)) + shape @ theta[-4:-1] + theta[-1]
-            error = (1 / (1 + np.exp(-logit.clip(-30, 30))) - post) / len(rows)
+            logit = np.bincount(row_of, theta[flat], n) + shape @ theta[-4:-1] + theta[-1]
+            error = (1 / (1 + np.exp(-logit.clip(-30, 30))) - post) / n
             grad = np.concatenate((np.bincount(flat, error[row_of], len(keys)), error @ shape, [error.sum()]))
             grad[:-1] += 1e-6 * theta[:-1]
             state[0] = 0.9 * state[0] + 0.1 * grad
