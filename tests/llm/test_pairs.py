@@ -130,3 +130,31 @@ def test_passages(spark, monkeypatch, short):
         x, y = shingles(b" ".join(a).decode()), shingles(b" ".join(b).decode())
         assert len(a) >= 50 and len(b) >= 50 and 100 * len(x & y) >= 75 * len(x | y)
     assert passages.repeated(nothing(spark)).count() == 0
+
+
+def repeats_of(a, b, least):
+    """Places of b within runs of ``least`` tokens that a holds, by brute force."""
+    runs = {tuple(a[k : k + least]) for k in range(len(a) - least + 1)}
+    return {p for k in range(len(b) - least + 1) if tuple(b[k : k + least]) in runs for p in range(k, k + least)}
+
+
+def similar(a, b, p, q, r, s):
+    x, y = set(a[p:q]), set(b[r:s])
+    return len(x & y) / len(x | y)
+
+
+def test_matching_covers_exact_repeats():
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    whole, one, two = fresh(996), fresh(46), fresh(46)
+    cases = [(np.concatenate((whole[:498], fresh(200), whole[498:])), whole), (np.concatenate((one, fresh(30), two)), np.concatenate((fresh(9), one, two)))]
+    for _ in range(60):  # few kinds, so that tokens recur
+        base = rng.integers(0, rng.integers(4, 200), 150).astype(np.uint64)
+        cuts = [base[i : i + rng.integers(10, 90)] for i in rng.integers(0, 120, 6)]
+        cases.append((base, np.concatenate([x for c in cuts for x in (c, fresh(rng.integers(0, 12)))])))
+    for a, b in cases:
+        for x, y in ((a, b), (b, a)):
+            got = passages.matching(x, y, 46, 75)
+            assert repeats_of(x.tolist(), y.tolist(), 46) <= {k for r in got for k in range(r[2], r[3])}
+            for p, q, r, s, sim in got:
+                assert q - p >= 46 and s - r >= 46 and sim >= 0.75 and abs(similar(x.tolist(), y.tolist(), p, q, r, s) - sim) < 1e-9
