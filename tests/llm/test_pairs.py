@@ -158,3 +158,39 @@ def test_matching_covers_exact_repeats():
             assert repeats_of(x.tolist(), y.tolist(), 46) <= {k for r in got for k in range(r[2], r[3])}
             for p, q, r, s, sim in got:
                 assert q - p >= 46 and s - r >= 46 and sim >= 0.75 and abs(similar(x.tolist(), y.tolist(), p, q, r, s) - sim) < 1e-9
+
+
+def test_matching_of_short_near_passages():
+    rng = np.random.default_rng(6)
+    fresh = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    for size in (46, 50, 64):
+        for place in range(0, size - 4):
+            one, two = fresh(size), fresh(200)
+            other, far = one.copy(), two.copy()
+            other[place : place + 5] = fresh(5)
+            far[100:105] = fresh(5)
+            a = np.concatenate((fresh(20), one, fresh(90), two, fresh(20)))
+            b = np.concatenate((fresh(33), other, fresh(70), far))
+            for x, y in ((a, b), (b, a)):
+                got = {t for r in passages.matching(x, y, 46, 75) for t in y[r[2] : r[3]].tolist()}
+                for part in (one, two):
+                    shared = set(part.tolist()) & set(x.tolist()) & set(y.tolist())
+                    assert len(shared & got) >= 41
+
+
+def test_matching_finds_what_brute_force_finds():
+    rng = np.random.default_rng(7)
+    for turn in range(60):
+        base = rng.integers(0, 1 << 62, 24).astype(np.uint64)
+        other = base[int(rng.integers(0, 4)) :].copy()
+        for _ in range(int(rng.integers(1, 4))):
+            k = int(rng.integers(0, len(other)))
+            new = rng.integers(0, 1 << 62, int(rng.integers(1, 4))).astype(np.uint64)
+            other = np.concatenate((other[:k], new, other[k + int(rng.integers(0, 3)) :]))
+        for x, y in ((base, other), (other, base)):
+            got = {k for r in passages.matching(x, y, 10, 75) for k in range(r[2], r[3])}
+            a, b = x.tolist(), y.tolist()
+            spans = lambda t: [(i, j) for i in range(len(t)) for j in range(i + 10, len(t) + 1)]
+            for r, s in spans(b):
+                if not got & set(range(r, s)):
+                    assert all(similar(a, b, p, q, r, s) < 0.75 for p, q in spans(a)), (turn, r, s)
