@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from spindrift.llm import components, exact_dedup, ngram_join, passages, textcore
-from tests.llm.fixtures import corpus, documents, nothing
+from tests.llm.fixtures import corpus, documents, nothing, words
 
 
 def shingles(text):
@@ -194,3 +194,13 @@ def test_matching_finds_what_brute_force_finds():
             for r, s in spans(b):
                 if not got & set(range(r, s)):
                     assert all(similar(a, b, p, q, r, s) < 0.75 for p, q in spans(a)), (turn, r, s)
+
+
+def test_edited_copies_of_a_common_passage(spark):
+    passage = words(50, 90)
+    edited = passage[:45] + ["changed"] + passage[46:]
+    texts = [words(100 + i, 60 + i) + passage + words(300 + i, 60) for i in range(30)]
+    texts += [words(200 + i, 70 + i) + edited[: 45 + i] + [f"new{i}"] + edited[46 + i :] + words(400 + i, 60) for i in range(4)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id for r in passages.repeated(docs).collect()}
+    assert found == set(range(1, 34))
