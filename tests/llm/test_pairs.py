@@ -204,3 +204,10 @@ def test_edited_copies_of_a_common_passage(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     found = {r.doc_id for r in passages.repeated(docs).collect()}
     assert found == set(range(1, 34))
+
+
+def test_one_hit_with_a_representative_is_enough(spark, monkeypatch):
+    monkeypatch.setattr(passages, "SHORT", 1)
+    passage = words(50, 60)
+    docs = spark.createDataFrame([(i, " ".join(words(100 + i, 60 + i) + passage + words(300 + i, 60))) for i in range(20)], "doc_id long, text string")
+    assert {r.doc_id for r in passages.repeated(docs, hashes=1).collect()} == set(range(1, 20))
