@@ -211,3 +211,10 @@ def test_one_hit_with_a_representative_is_enough(spark, monkeypatch):
     passage = words(50, 60)
     docs = spark.createDataFrame([(i, " ".join(words(100 + i, 60 + i) + passage + words(300 + i, 60))) for i in range(20)], "doc_id long, text string")
     assert {r.doc_id for r in passages.repeated(docs, hashes=1).collect()} == set(range(1, 20))
+
+
+@pytest.mark.parametrize("moved", [(31, 32), (0, -1), (5, 60)])
+def test_hits_on_moved_diagonals_make_candidates(spark, moved):
+    rows = [(16 * k + 2 * k, i, 0, c, 900) for k, d in enumerate(moved) for i, c in ((1, 100 + 100 * k), (2, 100 + 100 * k + d))]
+    windows = spark.createDataFrame(rows, "key long, id long, l int, c int, r int")
+    assert [tuple(r) for r in passages._gathered(passages._hits(windows, windows), 2).collect()] == [(1, 2)]
