@@ -196,3 +196,13 @@ def test_lm_is_a_distribution():
     both = lm.text_logprobs(model, table, known, texts, np.arange(0, 2 * size + 1, 2))
     first = lm.text_logprobs(model, table, known, ids[:1], np.array([0, 1]))
     assert abs((10 ** (both - first)).sum() - 1) < 1e-3
+
+
+def test_lm_counts_all_words(spark):
+    docs = spark.createDataFrame([r for r in corpus() if r[0] != 500], SCHEMA)
+    few, all_ = ([(r.doc_id, r.n_tokens, round(r.score, 6)) for r in lm.score(docs, RANKS, frequent=n).collect()] for n in (7, 1 << 18))
+    assert sorted(few, key=str) == sorted(all_, key=str)
+    ids = np.arange(5, 11, dtype=np.uint64)
+    spelt = np.array([sum(int(x + 1) << 16 * k for k, x in enumerate(ids[:4].tolist()))], dtype=np.uint64)
+    known = lm.prefixes(spelt, np.array([3]), ids[4:5] + np.uint64(1))
+    assert [int(x[0]) for x in known.look(spelt, ids[4:5] + np.uint64(1))] == [3, 3]
