@@ -110,3 +110,10 @@ def test_sources(spark, tmp_path):
     assert not any(r[2] == "no" for r in got)
     (tmp_path / "t.md").write_text("# x\n\n| d | e |\n|---|---|\n| 1 | a b |\n| 2 | |\n")
     assert [r.cells for r in facts.markdown_table(spark, f"{tmp_path}/t.md").orderBy("line").collect()] == [["1", "a b"], ["2", ""]]
+
+
+def test_extract_covers_all_parts(spark, tmp_path):
+    from spindrift.plans.job_queries import s4
+
+    spark.createDataFrame([(k, f"some name{k}", "Brand#1", size) for k, size in enumerate((1, 5, 6, 50))], "p_partkey int, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.path for r in s4(spark, str(tmp_path)).select("path").distinct().collect()} == {f"Brand#1/{k}.py" for k in range(4)}
