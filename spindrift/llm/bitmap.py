@@ -1,7 +1,8 @@
-"""Fixed-size membership bitmaps that thin out rows before a shuffle.
+"""Membership bitmaps that thin out rows before a shuffle.
 
-A bitmap has ``BITS`` bits whatever the input, so it may be broadcast. It only ever saves work: whatever passes is joined
-exactly afterwards, and a bitmap that has filled up lets everything pass.
+A bitmap has about ``PER_KEY`` bits for each key that it was made of, and ``MOST`` at most, so it may be broadcast. It only ever
+saves work: whatever passes is joined exactly afterwards. Where ``MOST`` bits are too few for the keys there is no bitmap,
+everything passes, and the join alone does the work.
 """
 
 from __future__ import annotations
@@ -10,25 +11,33 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 24
+LEAST, MOST, PER_KEY = 1 << 16, 1 << 27, 16
 
 
-def build(keys: DataFrame, column: str) -> np.ndarray:
-    """The words of the bitmap of a 64-bit integer column; at most ``BITS / 64`` rows reach the driver."""
-    bit = F.expr(f"`{column}` & {BITS - 1}L")
+def build(keys: DataFrame, column: str, most: int = MOST) -> np.ndarray | None:
+    """The words of the bitmap of a 64-bit integer column; at most ``most / 64`` rows reach the driver. None where a third of
+    the bits would be set."""
+    bit = F.expr(f"`{column}` & {most - 1}L")
     words = (
         keys.where(F.col(column).isNotNull())
         .select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63L as int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
     )
-    out = np.zeros(BITS // 64, dtype=np.int64)
     table = words.toArrow()
-    out[table.column("w").to_numpy()] = table.column("b").to_numpy()
-    return out.view(np.uint64)
+    out = np.zeros(most // 64, dtype=np.uint64)
+    out[table.column("w").to_numpy()] = table.column("b").to_numpy().view(np.uint64)
+    held = int(np.bitwise_count(out).sum())
+    if 3 * held > most:
+        return None
+    while 64 * len(out) > LEAST and 2 * PER_KEY * held <= 64 * len(out):
+        out = out[: len(out) // 2] | out[len(out) // 2 :]
+    return out
 
 
-def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def passes(words: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
     """Which of the unsigned 64-bit keys may be in the bitmap."""
-    bit = keys & np.uint64(BITS - 1)
+    if words is None:
+        return np.ones(len(keys), dtype=bool)
+    bit = keys & np.uint64(64 * len(words) - 1)
     return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1

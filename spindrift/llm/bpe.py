@@ -98,6 +98,31 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (to - lengths), lengths) + np.arange(to[-1] if len(to) else 0)
 
 
+class Rows:
+    """Row numbers by 64-bit key, in sorted arrays; what was added since the last look-up is merged in then."""
+
+    def __init__(self) -> None:
+        self.keys, self.at = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """Of keys that are there already the first row stays."""
+        self.new.append((keys, rows))
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        if self.new:
+            fresh = np.concatenate([k for k, _ in self.new])
+            order = np.argsort(fresh, kind="stable")
+            fresh, rows = fresh[order], np.concatenate([r for _, r in self.new])[order].astype(np.int32)
+            at = np.searchsorted(self.keys, fresh, side="right")
+            self.keys, self.at, self.new = np.insert(self.keys, at, fresh), np.insert(self.at, at, rows), []
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int64)
+        k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[k] == keys, self.at[k], -1).astype(np.int64)
+
+
 class Codec:
     """Encoder and decoder of one rank table."""
 
@@ -111,7 +136,9 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(by_rank), dtype=np.uint8)
         self.label = [str(i) for i in range(self.size)].__getitem__
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.whole = dict(zip(textcore.hash_spans(self.bytes, self.starts, self.starts + self.lengths).tolist(), range(self.size))) if all(self.lengths) else {}
+        self.whole = Rows()
+        if all(self.lengths):
+            self.whole.add(textcore.hash_spans(self.bytes, self.starts, self.starts + self.lengths), np.arange(self.size))
         self._pair_table(ranks)
         self._empty()
 
@@ -195,25 +222,26 @@ class Codec:
         return ids
 
     def _empty(self) -> None:
-        self.row_of: dict[int, int] = {}
+        self.row_of, self.rows = Rows(), 0
         self.store, self.used = np.zeros(1 << 16, dtype=np.int32), 0
         self.begin, self.count = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32)
 
     def _keep(self, keys: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
         while self.used + len(flat) > len(self.store):
             self.store = np.concatenate((self.store, np.zeros_like(self.store)))
-        row = len(self.row_of)
+        row = self.rows
         while row + len(keys) > len(self.begin):
             self.begin, self.count = np.concatenate((self.begin, np.zeros_like(self.begin))), np.concatenate((self.count, np.zeros_like(self.count)))
         self.store[self.used : self.used + len(flat)] = flat
         self.begin[row : row + len(keys)] = self.used + np.cumsum(counts) - counts
         self.count[row : row + len(keys)] = counts
-        self.row_of.update(zip(keys.tolist(), range(row, row + len(keys))))
+        self.rows += len(keys)
         self.used += len(flat)
+        self.row_of.add(keys, np.arange(row, row + len(keys)))
 
     def learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Encode distinct pieces, bucket by bucket of like length."""
-        whole = np.array([self.whole.get(k, -1) for k in keys.tolist()], dtype=np.int32)
+        whole = self.whole.get(keys).astype(np.int32)
         known = whole >= 0
         self._keep(keys[known], whole[known], np.ones(known.sum(), dtype=np.int32))
         keys, starts, lengths = keys[~known], starts[~known], (ends - starts)[~known]
@@ -239,14 +267,13 @@ class Codec:
         ends = np.append(starts[1:], len(data))
         keys = textcore.hash_spans(data, starts, ends)
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.row_of) + len(distinct) > CACHE:
+        if self.rows + len(distinct) > CACHE:
             self._empty()
-        get = self.row_of.get
-        rows = np.array([get(k, -1) for k in distinct.tolist()], dtype=np.int64)
+        rows = self.row_of.get(distinct)
         new = np.flatnonzero(rows < 0)
         if len(new):
             self.learn(data, distinct[new], starts[first[new]], ends[first[new]])
-            rows[new] = [get(k) for k in distinct[new].tolist()]
+            rows[new] = self.row_of.get(distinct[new])
         row = rows[inverse]
         counts = self.count[row].astype(np.int64)
         ids = self.store[_ragged(self.begin[row], counts)]
@@ -323,7 +350,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], names=["id", "ids"])
 
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(rows, "id long, ids array<int>").withColumnRenamed("id", id)
+    return source.mapInArrow(textcore.tidy(rows), "id long, ids array<int>").withColumnRenamed("id", id)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", id: str = "doc_id") -> DataFrame:
@@ -336,7 +363,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", id: str = "doc_id") -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "bytes"])
 
     source = tokens.select(F.col(id).cast("long").alias("id"), F.col(ids).alias("ids"))
-    return source.mapInArrow(rows, "id long, bytes binary").withColumnRenamed("id", id)
+    return source.mapInArrow(textcore.tidy(rows), "id long, bytes binary").withColumnRenamed("id", id)
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -357,4 +384,4 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(rows, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id)
+    return source.mapInArrow(textcore.tidy(rows), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id)

@@ -8,6 +8,7 @@ are removed when the session's process ends, or earlier by ``discard``.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -46,6 +47,14 @@ def stage(df: DataFrame, *partition_by: str, options: dict[str, str] | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files behind tables that have been written: it does so once the driver's collectors find
+    that no plan refers to them, which a driver with little to do may not find for an hour. To be called between the phases
+    of a long operator."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a staged table that nothing reads any more."""
     for path in list(_WRITTEN):

@@ -7,14 +7,16 @@ begins. Words are the maximal runs of bytes other than 0x20 and 0x09-0x0D, which
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are worked on at once.
-BLOCK = 1 << 20
+#: Bytes of text that are worked on at once, and bytes that are hashed at once.
+BLOCK = 1 << 19
+HASHED = 1 << 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -38,8 +40,8 @@ _TABLES: dict[str, np.ndarray] = {}
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     if not _TABLES:
-        _TABLES["up"] = _powers(_BASE, 2 * BLOCK)
-        _TABLES["down"] = _powers(pow(_BASE, -1, 1 << 64), 2 * BLOCK)
+        _TABLES["up"] = _powers(_BASE, 2 * HASHED)
+        _TABLES["down"] = _powers(pow(_BASE, -1, 1 << 64), 2 * HASHED)
     return _TABLES["up"], _TABLES["down"]
 
 
@@ -96,12 +98,12 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     i = 0
     while i < len(starts):
         first = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, first + BLOCK, side="right")))
+        j = max(i + 1, int(np.searchsorted(ends, first + HASHED, side="right")))
         last = int(ends[j - 1])
         if last - first > len(up):  # one very long word
             total, scale = 0, 1
-            for a in range(first, last, BLOCK):
-                part = data[a : min(last, a + BLOCK)].astype(np.uint64) + np.uint64(1)
+            for a in range(first, last, HASHED):
+                part = data[a : min(last, a + HASHED)].astype(np.uint64) + np.uint64(1)
                 total = (total + scale * int((part * up[: len(part)]).sum(dtype=np.uint64))) & _MASK
                 scale = scale * pow(_BASE, len(part), 1 << 64) & _MASK
             out[i] = total
@@ -145,3 +147,23 @@ def shingles(words: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[np.ndar
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def give_back() -> None:
+    """Return to the system what numpy and Arrow freed but their allocators kept."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def tidy(rows: Callable) -> Callable:
+    """A function over batches that gives memory back when its task ends: workers live on from task to task beside an
+    executor's JVM."""
+
+    def run(batches):
+        yield from rows(batches)
+        give_back()
+
+    return run

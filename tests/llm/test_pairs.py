@@ -70,6 +70,21 @@ def test_join_of_crowded_copies(spark, monkeypatch):
     assert sorted(((r[0], r[1], r[2]) for r in got), key=str) == brute_components(rows)
 
 
+def test_join_with_names_that_sets_share(spark, monkeypatch):
+    """Many sets share their first hash; the second tells them apart."""
+    monkeypatch.setattr(ngram_join, "signature", lambda tokens: int(tokens[0]) % 3 * 4 + 4 | min(len(tokens), 3))
+    got = ngram_join.near_duplicates(documents(spark)).collect()
+    assert sorted(((r[0], r[1], r[2]) for r in got), key=str) == brute_components(corpus())
+
+
+def test_representatives(spark):
+    a, b = " ".join(words(1, 70)), " ".join(words(2, 70))
+    rows = [(3, a), (5, b), (5, a), (5, b.upper()), (7, ""), (7, ""), (8, None), (9, " ".join(words(2, 70)[:68])), (None, a), (None, "other words only here in this row")]
+    got = ngram_join.representatives(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, sig int"))
+    assert got.columns == ["doc_id", "text", "sig"]
+    assert sorted(((r[0], r[1]) for r in got.collect()), key=str) == sorted([(3, a), (5, b.upper()), (7, ""), (8, None), (None, "other words only here in this row")], key=str)
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.near_duplicates(nothing(spark)).count() == 0
 
@@ -79,9 +94,9 @@ def test_components(spark):
     assert dict(components.components(edges).collect()) == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7}
 
 
-@pytest.mark.parametrize("digest_bytes,keep,clashing", [(32, "largest", True), (1, "smallest", False)])
-def test_exact_dedup(spark, digest_bytes, keep, clashing):
-    got = exact_dedup.deduplicate(documents(spark, clashing), digest_bytes=digest_bytes, keep=keep).collect()
+@pytest.mark.parametrize("digest_bytes,keep,clashing,runs,most", [(32, "largest", True, 4, 1 << 24), (1, "smallest", False, 1, 1 << 24), (32, "smallest", False, 8, 8)])
+def test_exact_dedup(spark, digest_bytes, keep, clashing, runs, most):
+    got = exact_dedup.deduplicate(documents(spark, clashing), digest_bytes=digest_bytes, keep=keep, runs=runs, most=most).collect()
     groups = defaultdict(list)
     for i, t, *_ in corpus():
         groups[t or ""].append(i)
