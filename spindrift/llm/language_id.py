@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from spindrift.llm import textcore
 from spindrift.llm.sampling import fold, labelled
 
-#: The classifiers are fitted on a sample of labelled rows bounded by these.
-SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 8_192
+#: The classifiers are fitted on a sample of so many labelled rows at most, and of about so many bytes of text in all.
+SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 48 << 20
 DIMENSIONS = 1 << 12
 AMBIGUOUS = 0.1
 FOLDS, HELD_OUT = 4, 2
@@ -85,7 +85,8 @@ def fit(texts, labels: list[str], rounds: int = 150) -> Model:
         return Model([], np.zeros((0, 1)), np.zeros((DIMENSIONS + 1, 1), dtype=np.float32), np.ones(1))
     parts = [features(*textcore.buffers(column.slice(a, 250))) for a in range(0, len(column), 250)]
     x = np.concatenate(parts)
-    y = np.array([languages.index(v) for v in labels])
+    place = {v: k for k, v in enumerate(languages)}
+    y = np.array([place[v] for v in labels])
     share = np.bincount(y, minlength=len(languages)) / len(y)
     importance = (1 / (share * len(languages)))[y][:, None].astype(np.float32)
     target = code[y].astype(np.float32)
@@ -112,20 +113,26 @@ def decode(model: Model, out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def train(docs: DataFrame, text: str = "text", id: str = "doc_id", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on a bounded sample of rows with a language outside the held-out fold, drawn evenly over languages."""
-    known = docs.select(F.col(id).cast("long").alias("id"), F.col(lang).cast("string").alias("label")).where("label is not null").where(fold(F.col("id"), FOLDS) != HELD_OUT)
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    each = max(1, sample_rows // max(1, len(sizes)))
-    chance = F.coalesce(*(F.when(F.col("label") == name, F.lit(min(1.0, each / n))) for name, n in sizes.items()), F.lit(0.0))
-    known = known.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < chance * 1_000_000)
+    """Fit on a bounded sample of rows with a language outside the held-out fold, drawn evenly over languages, by their whole
+    texts. Of several languages of one id the greatest name counts, of several texts the least; null ids, languages and texts
+    teach nothing. A language with a row in the fold of training is always learned, up to ``sample_rows`` languages."""
+    known = docs.select(F.col(id).cast("long").alias("id"), F.col(lang).cast("string").alias("label")).where("label is not null and id is not null")
+    known = known.where(fold(F.col("id"), FOLDS) != HELD_OUT)
+    sizes = known.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(3)).alias("h"), "id")).alias("first"))
+    each = F.lit(float(sample_rows)) / F.greatest(F.lit(1), F.lit(sizes.count()))
+    drawn = known.join(sizes, "label").where((F.col("id") == F.col("first.id")) | (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < F.least(F.lit(1.0), each / F.col("n")) * 1_000_000))
+    known = drawn.select("id", "label")
     sample = labelled(docs, known, sample_rows, SAMPLE_BYTES, text, id)
-    return fit(sample.column("text").combine_chunks(), sample.column("label").to_pylist())
+    model = fit(sample.column("text"), sample.column("label").to_pylist())
+    textcore.give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id") -> DataFrame:
     """``(id, held_out, lang_pred, score, ambiguous)``, one row for each row of ``docs``, by its whole text.
 
-    ``lang_pred`` is ``und`` with score 0 where the text is null, empty or without a letter, or no language was learned. A
+    ``lang_pred`` is ``und`` with score 0 where the text is null, empty or without a letter, or no language was learned; of
+    codewords that are equally near the first language by name wins. Texts of any length count whole, by blocks of bytes. A
     null id is not held out; repeated rows get equal results; an empty table gives an empty result; other columns are not
     read.
     """
@@ -151,6 +158,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(has & (lead < AMBIGUOUS))], names=["id", "lang_pred", "score", "ambiguous"])
 
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    found = source.mapInArrow(rows, "id long, lang_pred string, score double, ambiguous boolean")
+    found = source.mapInArrow(textcore.tidy(rows), "id long, lang_pred string, score double, ambiguous boolean")
     held = F.coalesce(fold(F.col("id"), FOLDS) == HELD_OUT, F.lit(False))
     return found.select(F.col("id").alias(id), held.alias("held_out"), "lang_pred", "score", "ambiguous")

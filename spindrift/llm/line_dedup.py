@@ -34,17 +34,28 @@ def boilerplate(docs: DataFrame, text: str, host: str, ratio: float, min_pages:
     return over.select("host", "line")
 
 
+def _slots(found: DataFrame) -> DataFrame:
+    """``(__host, __slots)``: the digests of a host, dealt by their hash into as many short lists as there are digests, so that
+    one is found without going through the others."""
+    sizes = found.groupBy(F.col("host").alias("__host")).agg(F.count("*").cast("int").alias("n"))
+    dealt = found.join(sizes, F.col("host").eqNullSafe(F.col("__host"))).select("__host", F.pmod(F.xxhash64("line"), F.col("n")).cast("int").alias("slot"), "line")
+    every = sizes.select("__host", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"), F.lit(None).cast("binary").alias("line"))
+    short = dealt.unionByName(every).groupBy("__host", "slot").agg(F.collect_list("line").alias("lines"))
+    return short.groupBy("__host").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "lines"))), lambda x: x["lines"]).alias("__slots"))
+
+
 def drop_boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with its boilerplate lines dropped from ``text``, and the columns ``n_lines`` and ``n_dropped``.
 
     Lines are what ``\\n`` separates; two are the same if equal after trimming spaces. A line goes if more than ``ratio``
     of its host's pages, and ``min_pages`` at least, contain it; how often one page repeats it doesn't matter. Blank lines
     stay. Null texts stay null, with 0 lines, and count as pages; a null host is a host of its own; repeated rows count as
-    pages each; a text that loses all lines becomes empty; an empty table gives an empty result. Other columns pass through;
+    pages each; a text that loses all lines becomes empty; a share of just ``ratio`` doesn't exceed it; texts and lines of any
+    length are taken whole; an empty table gives an empty result. Other columns pass through;
     ``n_lines`` and ``n_dropped`` replace columns of those names.
     """
     found = stage(boilerplate(docs, text, host, ratio, min_pages))
-    per_host = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__lines"))
+    per_host = _slots(found)
     if found.count() <= BROADCAST_LINES:
         joined = docs.join(F.broadcast(per_host), F.col(host).eqNullSafe(F.col("__host")), "left")
     else:
@@ -52,11 +63,14 @@ def drop_boilerplate(docs: DataFrame, text: str = "text", host: str = "source",
         spread = per_host.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = salted.join(spread, F.col(host).eqNullSafe(F.col("__host")) & (F.col("__salt") == F.col("__at")), "left").drop("__salt", "__at")
     lines = F.split(F.col(text).cast("string"), "\n")
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("__lines", _key(x)))
-    joined = joined.withColumn("__kept", F.when(F.col("__lines").isNotNull(), kept))
+
+    keyed = F.transform(lines, lambda x: F.struct(x.alias("line"), _key(x).alias("key")))
+    held = lambda key: F.array_contains(F.element_at("__slots", F.pmod(F.xxhash64(key), F.size("__slots")).cast("int") + 1), key)
+    kept = F.transform(F.filter(keyed, lambda x: (F.trim(x["line"]) == "") | ~held(x["key"])), lambda x: x["line"])
+    joined = joined.withColumn("__kept", F.when(F.col("__slots").isNotNull(), kept))
     n = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     n = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(n)
     out = joined.withColumn("n_lines", n)
     out = out.withColumn("n_dropped", F.when(F.col("__kept").isNotNull() & F.col(text).isNotNull(), F.col("n_lines") - F.size("__kept")).otherwise(F.lit(0).cast("long")).cast("long"))
     out = out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text)))
-    return out.drop("__host", "__lines", "__kept")
+    return out.drop("__host", "__slots", "__kept")

@@ -14,16 +14,19 @@ def fold(id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.encode(id.cast("string"), "UTF-8")), F.lit(folds))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, rows: int, max_bytes: int, text: str = "text", id: str = "doc_id") -> pa.Table:
-    """``(text, label)`` of about ``rows`` rows at most of ``labels(id, label)``, chosen by a hash of their identifiers.
+def labelled(docs: DataFrame, labels: DataFrame, rows: int, text_bytes: int, text: str = "text", id: str = "doc_id") -> pa.Table:
+    """``(text, label)`` of at most ``rows`` rows of ``labels(id, label)`` and about ``text_bytes`` bytes of text in all.
 
-    The sample is bounded before it is joined, so it may be broadcast; texts of over ``max_bytes`` bytes are left out of it.
-    It is the only thing that reaches the driver: ``rows * max_bytes`` bytes at most.
+    Rows are chosen by a hash of their identifiers, whatever their length, and keep their whole texts: where texts are long,
+    fewer of all lengths are chosen. Of several labels of one identifier the greatest counts, of several texts the least, so
+    that the sample doesn't depend on how the tables are partitioned. It is bounded before it is joined, so it may be
+    broadcast, and is the only thing that reaches the driver.
     """
-    known = labels.where(F.col("label").isNotNull() & F.col("id").isNotNull()).dropDuplicates(["id"])
-    n = known.count()
-    if n > rows:
-        known = known.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(_SPAN)) < F.lit(int(_SPAN * 0.98 * rows / n)))
-    known = known.limit(rows)
-    texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= max_bytes)
-    return texts.join(F.broadcast(known), "id").select("id", "text", "label").toArrow().sort_by([("id", "ascending")]).select(["text", "label"])
+    known = labels.where(F.col("label").isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(F.max("label").alias("label"))
+    mean = docs.agg(F.avg(F.octet_length(F.col(text).cast("string")))).first()[0] or 1.0
+    most = max(1, min(rows, int(text_bytes / max(mean, 1.0))))
+    order = F.xxhash64("id", F.lit(7))
+    chosen = known.orderBy(order, "id").limit(most)
+    texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return one.orderBy("id").select("text", "label").toArrow()

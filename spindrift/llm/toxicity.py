@@ -2,10 +2,10 @@
 
 Many voters look at a text. Lexicon voters each hold a share of the terms - words and word beginnings - that a likelihood
 test on labelled rows finds to mark toxic texts, or a short list of common insults; pattern voters look at exclamation,
-capitals and drawn-out letters; one voter speaks for clean texts. A generative label model (expectation maximisation over
-two classes) estimates each voter's accuracy and the correlations that remain between voters given the class, discounts
-voters that repeat each other, and gives posterior labels. A linear classifier over term presence is trained on those
-posteriors and scores every whole text.
+capitals and drawn-out letters; one voter speaks for clean texts. A generative label model over two classes gives posterior
+labels: each voter votes at rates that depend on the class and on one other voter, its parent in a tree of the strongest
+correlations given the class. Rates and tree are estimated by expectation maximisation. A linear classifier over term
+presence is trained on the posteriors and scores every whole text.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from spindrift.llm import textcore
 from spindrift.llm.sampling import fold, labelled
 
-#: The classifier is fitted on a sample of labelled rows bounded by these.
-SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 16_384
+#: The classifier is fitted on a sample of so many labelled rows at most, and of about so many bytes of text in all.
+SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 64 << 20
 TERMS = 4_000
 #: A term enters the lexicon if so many sampled rows hold it and this share of them is toxic, beyond chance.
 LEAST, PURITY = 4, 0.9
@@ -47,7 +47,7 @@ class Model:
     pattern_weights: np.ndarray
     bias: float
     voters: dict[str, tuple[float, float]]  #: rate of a toxic vote among toxic and among clean texts
-    discount: dict[str, float]
+    parents: dict[str, str | None]  #: the voter that each depends on, given the class
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,37 +134,66 @@ def _lexicon(column, toxic: np.ndarray) -> np.ndarray:
     return seen[keep][order][:TERMS]
 
 
+def correlations(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Mutual information of each two voters given the class."""
+    out = np.zeros((votes.shape[1],) * 2)
+    for weight in (post, 1 - post):
+        total = weight.sum() + 1e-9
+        share = (votes.T @ weight) / total
+        both = (votes.T * weight) @ votes / total
+        for cell, a, b in ((both, share, share), (share[:, None] - both, share, 1 - share), (share[None, :] - both, 1 - share, share), (1 - share[:, None] - share[None, :] + both, 1 - share, 1 - share)):
+            cell, free = cell.clip(1e-12), np.outer(a, b).clip(1e-12)
+            out += total / len(votes) * cell * np.log(cell / free)
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def tree(weights: np.ndarray, least: float) -> np.ndarray:
+    """Parent of each place in the forest of greatest weights, of edges over ``least`` only; -1 at its roots."""
+    m = len(weights)
+    parent, best, near = np.full(m, -1), np.full(m, -np.inf), np.full(m, -1)
+    todo = np.ones(m, dtype=bool)
+    while todo.any():
+        at = int(np.where(todo, best, -np.inf).argmax()) if np.isfinite(best[todo]).any() else int(np.flatnonzero(todo)[0])
+        parent[at], todo[at] = near[at], False
+        closer = todo & (weights[at] > least) & (weights[at] > best)
+        best[closer], near[closer] = weights[at][closer], at
+    return parent
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the positive class of each row, rates of a positive vote in either class for each voter, and discounts.
+    """Posterior of the positive class of each row, rates of a positive vote of each voter by its parent's vote and the class,
+    and the parents.
 
-    ``votes`` holds 1 where a voter speaks and 0 where it abstains. After estimating with independent voters, the
-    correlations that remain given the class are measured, and each voter's evidence is divided by one plus the sum of its
-    correlations with the others; the estimation is then repeated with these discounts.
+    ``votes`` holds 1 where a voter speaks and 0 where it abstains. At first any vote speaks for the class; from those
+    posteriors comes the tree of the correlations that pay for their parameters, and the model with that tree is estimated.
+    Its posteriors give the tree of the second estimate. Rates by a parent's vote are drawn towards those without.
     """
-    m = votes.shape[1]
-    discount = np.ones(m)
-    post = np.clip(votes[:, :-1].max(axis=1) * 0.9 + 0.02, 0, 1) if m > 1 else np.full(len(votes), prior)
-    rates = np.full((m, 2), 0.5)
+    n, m = votes.shape
+    post = np.clip(votes[:, :-1].max(axis=1) * 0.9 + 0.02, 0, 1) if m > 1 else np.full(n, prior)
+    rates = np.full((m, 2, 2), 0.5)
     for _ in range(2):
+        parent = tree(correlations(votes, post), np.log(max(n, 2)) / max(n, 2))
+        above = np.where(parent >= 0, votes[:, parent], 0)
         for _ in range(rounds):
             weight = np.stack([post, 1 - post], axis=1)
-            rates = (votes.T @ weight + [1e-2, 1e-2]) / (weight.sum(axis=0) + 2e-2)
+            plain = (votes.T @ weight + 1e-2) / (weight.sum(axis=0) + 2e-2)
+            for u in (0, 1):
+                here = above == u
+                rates[:, u] = ((votes * here).T @ weight + 2 * plain) / (here.T @ weight + 2)
             rates = rates.clip(1e-4, 1 - 1e-4)
             prior = float(np.clip(0.5 * prior + 0.5 * post.mean(), 1e-4, 1 - 1e-4))
-            for_, against = np.log(rates[:, 0] / rates[:, 1]), np.log((1 - rates[:, 0]) / (1 - rates[:, 1]))
-            logit = np.log(prior / (1 - prior)) + votes @ (discount * for_) + (1 - votes) @ (discount * against)
+            logit = np.full(n, np.log(prior / (1 - prior)))
+            for u in (0, 1):
+                here = above == u
+                logit += (votes * here) @ np.log(rates[:, u, 0] / rates[:, u, 1]) + ((1 - votes) * here) @ np.log((1 - rates[:, u, 0]) / (1 - rates[:, u, 1]))
             post = 1 / (1 + np.exp(-logit.clip(-30, 30)))
-        rest = votes - (post[:, None] * rates[:, 0] + (1 - post[:, None]) * rates[:, 1])
-        spread = np.sqrt((rest**2).mean(axis=0)) + 1e-6
-        near = np.abs(rest.T @ rest / max(1, len(votes)) / spread[:, None] / spread[None, :])
-        np.fill_diagonal(near, 0)
-        discount = 1 / (1 + np.where(near > 0.1, near, 0).sum(axis=1))
-    return post, rates, discount
+    return post, rates, parent
 
 
 def fit(texts, labels) -> Model:
     """A model from texts and their 0/1 labels. Without rows of both kinds, only the insult list speaks."""
-    toxic, column = np.array(labels, dtype=bool), pa.array(texts, pa.string())
+    toxic, column = np.array(labels, dtype=bool), texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     single = ~_copies(column)
     toxic, column = toxic[single], column.filter(pa.array(single))
     insults, _, _ = _terms(*textcore.buffers(pa.array(list(INSULTS))))
@@ -191,9 +220,9 @@ def fit(texts, labels) -> Model:
     names = [f"lexicon{g}" for g in range(GROUPS)] + ["insults", "exclamation", "capitals", "drawn_out", "clean"]
     if n:
         prior = float(np.clip(toxic.mean(), 0.01, 0.99))
-        post, rates, discount = label_model(votes, prior)
+        post, rates, parent = label_model(votes, prior)
     else:
-        post, rates, discount = np.zeros(0), np.full((votes.shape[1], 2), 0.5), np.ones(votes.shape[1])
+        post, rates, parent = np.zeros(0), np.full((votes.shape[1], 2, 2), 0.5), np.full(votes.shape[1], -1)
 
     weights, pattern, bias = np.where(np.isin(keys, insults), 5.0, 1.0), np.zeros(3), -3.0
     if 0 < toxic.sum() < len(toxic):
@@ -210,7 +239,7 @@ def fit(texts, labels) -> Model:
             state[1] = 0.99 * state[1] + 0.01 * grad**2
             theta -= 0.1 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-9)
         weights, pattern, bias = theta[: len(keys)], theta[-4:-1], float(theta[-1])
-    return Model(keys, weights, pattern, bias, dict(zip(names, map(tuple, rates))), dict(zip(names, discount)))
+    return Model(keys, weights, pattern, bias, {name: tuple(rate[0]) for name, rate in zip(names, rates)}, {name: names[p] if p >= 0 else None for name, p in zip(names, parent)})
 
 
 def _scores(model: Model, screen: np.ndarray, part: pa.RecordBatch, column: int) -> np.ndarray:
@@ -230,17 +259,24 @@ def _scores(model: Model, screen: np.ndarray, part: pa.RecordBatch, column: int)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on a bounded sample of labelled rows outside the held-out fold."""
+    """Fit on a bounded sample of labelled rows outside the held-out fold, by their whole texts.
+
+    An id that is labelled both ways counts as toxic; of an id with several texts the least is taken; null ids, labels and
+    texts teach nothing."""
     known = labels.select(F.col(id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where(fold(F.col("id"), FOLDS) != HELD_OUT)
     sample = labelled(docs, known, sample_rows, SAMPLE_BYTES, text, id)
-    return fit(sample.column("text").combine_chunks(), [bool(x) for x in sample.column("label").to_pylist()])
+    labels_, texts = [bool(x) for x in sample.column("label").to_pylist()], sample.column("text").combine_chunks()
+    del sample
+    model = fit(texts, labels_)
+    textcore.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``held_out``, ``score`` and ``predicted``; columns of those names are replaced.
 
-    Every whole text is scored, long ones by parts of a batch; null and empty texts get the score of a text without any
-    term. A null id is not held out. Repeated rows get equal scores; an empty table gives an empty result; all other
+    Every whole text is scored, however long; null and empty texts get the score of a text without any term; a score of
+    just ``threshold`` counts as toxic. A null id is not held out. Repeated rows get equal scores; an empty table gives an empty result; all other
     columns pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -256,6 +292,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id",
             for part in textcore.slices(batch, text, textcore.BLOCK):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_scores(use, screen, part, at))], names=[*part.schema.names, "score"])
 
-    scored = base.mapInArrow(rows, schema)
+    scored = base.mapInArrow(textcore.tidy(rows), schema)
     held = F.coalesce(fold(F.col(id), FOLDS) == HELD_OUT, F.lit(False))
     return scored.withColumn("held_out", held).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -8,6 +8,7 @@ work is done by DataFrame functions.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -47,8 +48,8 @@ def _rule_table(spark, rules: Sequence[tuple[str, str]]) -> DataFrame:
     ordered = sorted(seen.items(), key=lambda x: (len(x[0]), x[0]))
     if not ordered:
         ordered = [("\x00", "allow")]  # fits nothing
-    rows = F.array(*(F.struct(F.lit(i).alias("priority"), F.lit(r).alias("rule"), F.lit(v).alias("verdict")) for i, (r, v) in enumerate(ordered)))
-    table = spark.range(1).select(F.inline(rows))
+    rows = json.dumps([{"priority": i, "rule": r, "verdict": v} for i, (r, v) in enumerate(ordered)])
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<priority:int,rule:string,verdict:string>>")))
     host = F.substring_index("rule", "/", 1)
     table = table.withColumn("host", host).withColumn("path", F.expr("substring(rule, length(host) + 1)"))
     quoted = lambda c: F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
@@ -61,9 +62,9 @@ def _rule_table(spark, rules: Sequence[tuple[str, str]]) -> DataFrame:
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], default: str = "allow", url: str = "url", id: str = "page_id") -> DataFrame:
     """``(id, url, host, path, rule, verdict)``, one row for each row of ``pages``.
 
-    ``rules`` are (verdict, rule) pairs. Of the rules that fit, the longest wins; without one, ``rule`` is null and the
+    ``rules`` are (verdict, rule) pairs. Of the rules that fit, the longest wins, of equally long ones the last by name; without one, ``rule`` is null and the
     verdict is ``default``. A rule listed with both verdicts blocks. Null urls and urls without ``://`` have an empty host
-    and path, which only a rule with an empty host can fit. Repeated rows and null ids are returned as often as they occur;
+    and path, which only a rule with an empty host can fit. Urls of any length are taken whole. Repeated rows and null ids are returned as often as they occur;
     an empty table gives an empty result; other columns of ``pages`` are not read.
     """
     spark = pages.sparkSession
@@ -79,11 +80,12 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], default: str = "al
     counts = base.select(F.explode("tokens").alias("token")).join(small(of_rules.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("urls"))
     rarity = of_rules.join(counts, "token", "left").select("priority", "token", F.when(F.col("token") == "*", F.lit((1 << 62))).otherwise(F.coalesce("urls", F.lit(0))).alias("urls"))
     rarest = rarity.groupBy("priority").agg(F.min(F.struct("urls", "token")).alias("m")).select("priority", F.col("m.token").alias("token"))
-    index = rarest.join(table.select("priority", "pattern"), "priority").groupBy("token").agg(F.collect_list(F.struct("priority", "pattern")).alias("rules"))
+    index = rarest.join(table.select("priority", "pattern", F.col("host").alias("suffix"), F.col("path").alias("start")), "priority").groupBy("token").agg(F.collect_list(F.struct("priority", "pattern", "suffix", "start")).alias("rules"))
 
     fetched = base.select("id", "url", "host", "path", F.posexplode("tokens").alias("pos", "token")).join(small(index), "token", "left")
     target = F.concat("host", "path")
-    fits = F.filter("rules", lambda r: F.regexp_like(target, r["pattern"]))
+    # a regular expression is compiled anew for each rule, so it runs last
+    fits = F.filter("rules", lambda r: F.endswith(F.col("host"), r["suffix"]) & F.startswith(F.col("path"), r["start"]) & F.regexp_like(target, r["pattern"]))
     best = fetched.withColumn("p", F.array_max(F.transform(fits, lambda r: r["priority"])))
     best = best.groupBy("id", "url", "host", "path").agg(F.max("p").alias("priority"), F.count_if(F.col("pos") == 0).alias("copies"))
     named = best.join(small(table.select("priority", "rule", "verdict")), "priority", "left")

@@ -101,6 +101,25 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.leaks(nothing(spark), bench).count() == 0
 
 
+def test_leaks_in_repetitive_texts():
+    import time
+
+    rnd = random.Random(8)
+    items = ["a" * 400, "ab" * 150, "the same words again and again " * 12, "q" * 30, "".join(rnd.choice("abcd efgh") for _ in range(300))]
+    idx = decontaminate.index(list(range(5)), items)
+    assert idx.plain.tolist() == [False, False, False, False, True]
+    texts = ["a" * 1_000_000, "b" * 1_000_000, "a" * 390 + "x" + "a" * 380, ("a" * 70 + "c") * 900, "xy" + items[4][:150] + "z" + items[4][150:] * 3, "ab" * 100 + "c" + "ab" * 49 + "  " + "ab" * 30, "q" * 29, "q" * 28 + "r" + "q" * 30]
+    texts += [("the same words again and again " * 5 + "or else ") * 40, "x" * 50 + "the same words again and agan " * 13]
+    began = time.time()
+    got = decontaminate.search(idx, [decontaminate.normalise(t) for t in texts])
+    assert time.time() - began < 60
+    for t, hits in zip(texts, got):
+        if len(t) < 100_000:
+            want = {i: sellers(decontaminate.normalise(item), decontaminate.normalise(t)) for i, item in enumerate(items)}
+            assert {i: d for i, d, _ in hits} == {i: d for i, d in want.items() if d <= int(idx.budgets[i])}
+    assert got[0] == [(0, 0, 400)] and got[1] == []
+
+
 def test_bpe_equals_the_library(spark):
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
     assert bpe.PATTERN == public_tokenizers.PATTERN
@@ -154,8 +173,61 @@ def test_toxicity(spark):
     assert all(r.predicted == int(r.score >= 0.7) for r in got) and {r.predicted for r in got if r.doc_id in (900, 901)} == {0}
     model = toxicity.train(nothing(spark), labels.limit(0))
     assert toxicity.score(documents(spark, True), model).count() == len(corpus()) and toxicity.score(nothing(spark), model).count() == 0
-    post, rates, discount = toxicity.label_model(np.array([[1, 1, 0, 0], [0, 0, 0, 1]] * 50, dtype=float), 0.5)
-    assert post[0] > 0.9 > 0.1 > post[1] and discount.min() > 0 and rates.shape == (4, 2)
+    long_ = [(i, " ".join([make(i % 5 == 0)] * 400), None, None, None) for i in range(100)]  # none is left out for its length
+    learned = toxicity.train(spark.createDataFrame(long_, SCHEMA), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(100)] + [(5, 0), (15, 0)], "doc_id long, toxic int"))
+    assert {r.doc_id for r in toxicity.score(spark.createDataFrame(long_, SCHEMA), learned).where("predicted = 1").collect()} == set(range(0, 100, 5))
+
+
+def naive_label_model(votes, prior, parent, start, rounds):
+    """Expectation maximisation with a given tree, row by row."""
+    rows, post = votes.astype(int).tolist(), list(start)
+    m = len(rows[0])
+    for _ in range(rounds):
+        weight = {(r, c): post[r] if c == 0 else 1 - post[r] for r in range(len(rows)) for c in (0, 1)}
+        mass = [sum(weight[r, c] for r in range(len(rows))) for c in (0, 1)]
+        rate = {}
+        for j in range(m):
+            for c in (0, 1):
+                plain = (sum(weight[r, c] for r, v in enumerate(rows) if v[j]) + 0.01) / (mass[c] + 0.02)
+                for u in (0, 1):
+                    own = [r for r, v in enumerate(rows) if (v[parent[j]] if parent[j] >= 0 else 0) == u]
+                    x = (sum(weight[r, c] for r in own if rows[r][j]) + 2 * plain) / (sum(weight[r, c] for r in own) + 2)
+                    rate[j, u, c] = min(max(x, 1e-4), 1 - 1e-4)
+        prior = min(max(0.5 * prior + 0.5 * sum(post) / len(post), 1e-4), 1 - 1e-4)
+        for r, v in enumerate(rows):
+            odds = prior / (1 - prior)
+            for j in range(m):
+                u = v[parent[j]] if parent[j] >= 0 else 0
+                one, two = rate[j, u, 0], rate[j, u, 1]
+                odds *= one / two if v[j] else (1 - one) / (1 - two)
+            post[r] = odds / (1 + odds)
+    return post
+
+
+def test_label_model(monkeypatch):
+    rng = np.random.default_rng(3)
+    truth = rng.random(400) < 0.3
+    votes = np.stack([rng.random(400) < np.where(truth, hi, lo) for hi, lo in ((0.8, 0.1), (0.7, 0.05), (0.6, 0.1), (0.5, 0.02))] + [~truth & (rng.random(400) < 0.9)], axis=1).astype(float)
+    votes[:, 3] = np.where(rng.random(400) < 0.9, votes[:, 2], votes[:, 3])  # one voter mostly repeats another
+    post, rates, parent = toxicity.label_model(votes, 0.3)
+    assert (parent[2] == 3 or parent[3] == 2) and rates.shape == (5, 2, 2) and ((post > 0.5) == truth).mean() > 0.85
+    for fixed in ([-1] * 5, [-1, 0, -1, 2, 0]):
+        monkeypatch.setattr(toxicity, "tree", lambda weights, least, fixed=fixed: np.array(fixed))
+        prior, start = 0.3, np.clip(votes[:, :-1].max(axis=1) * 0.9 + 0.02, 0, 1)
+        want = naive_label_model(votes, prior, fixed, start, 6)
+        assert np.allclose(toxicity.label_model(votes, prior, rounds=3)[0], want)
+    monkeypatch.undo()
+    # information of two voters given the class, by its definition
+    want = 0.0
+    for c in (0, 1):
+        w = truth if c else ~truth
+        for x in (0, 1):
+            for y in (0, 1):
+                both = ((votes[:, 0] == x) & (votes[:, 1] == y) & w).sum() / w.sum()
+                one, two = ((votes[:, 0] == x) & w).sum() / w.sum(), ((votes[:, 1] == y) & w).sum() / w.sum()
+                want += w.mean() * both * math.log(both / one / two) if both else 0
+    assert abs(toxicity.correlations(votes, truth.astype(float))[0, 1] - want) < 1e-6
+    assert toxicity.tree(np.array([[0, 5, 1], [5, 0, 2], [1, 2, 0]], dtype=float), 0.5).tolist() == [-1, 0, 1]
 
 
 def test_lm(spark):
