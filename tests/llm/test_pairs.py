@@ -147,6 +147,30 @@ def test_passages(spark, monkeypatch, short):
     assert passages.repeated(nothing(spark)).count() == 0
 
 
+def test_passages_of_several_texts_of_one_id(spark):
+    one, two, three = (words(k, 70) for k in (1, 2, 3))
+    rows = [(1, one), (1, two), (2, one), (3, words(4, 9) + two), (None, three), (None, words(5, 7) + three), (None, one), (1, one), (4, None)]
+    got = passages.repeated(spark.createDataFrame([(i, " ".join(t) if t else t) for i, t in rows], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.of_doc_id) for r in got} == {(2, 1), (3, 1), (None, 1), (None, 2), (None, None)}
+
+
+def test_recall_of_planted_passages(spark):
+    """Passages of 60 words with up to two changed words, in other surroundings: the least similarity is over 0.75."""
+    rows, planted = [], []
+    for k in range(120):
+        passage = words(10_000 + k, 60)
+        other = passage[:]
+        for e in range(k % 3):
+            other[(17 * k + 23 * e) % 60] = f"edit{k}x{e}"
+        x, y = shingles(" ".join(passage)), shingles(" ".join(other))
+        rows += [(2 * k, words(k, 50 + k % 40) + passage + words(500 + k, 30)), (2 * k + 1, words(900 + k, 20 + k % 60) + other + words(1500 + k, 50))]
+        if 100 * len(x & y) >= 75 * len(x | y):
+            planted.append((2 * k + 1, 2 * k, k % 3))
+    got = {(r.doc_id, r.of_doc_id) for r in passages.repeated(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()}
+    assert all((b, a) in got for b, a, edits in planted if edits == 0)
+    assert sum((b, a) in got for b, a, _ in planted) >= 0.9 * len(planted) and got <= {(b, a) for b, a, _ in planted}
+
+
 def repeats_of(a, b, least):
     """Places of b within runs of ``least`` tokens that a holds, by brute force."""
     runs = {tuple(a[k : k + least]) for k in range(len(a) - least + 1)}
