@@ -118,7 +118,7 @@ def test_compact_windows():
     def tree(left, right):
         if right - left + 1 >= 5:
             c = left + int(values[left : right + 1].argmin())
-            want.append((left, c, right))
+            want.append((max(left, c - 4), c, min(right, c + 4)))
             tree(left, c - 1)
             tree(c + 1, right)
 
@@ -151,7 +151,9 @@ def test_passages_of_several_texts_of_one_id(spark):
     one, two, three = (words(k, 70) for k in (1, 2, 3))
     rows = [(1, one), (1, two), (2, one), (3, words(4, 9) + two), (None, three), (None, words(5, 7) + three), (None, one), (1, one), (4, None)]
     got = passages.repeated(spark.createDataFrame([(i, " ".join(t) if t else t) for i, t in rows], "doc_id long, text string")).collect()
-    assert {(r.doc_id, r.of_doc_id) for r in got} == {(2, 1), (3, 1), (None, 1), (None, 2), (None, None)}
+    got = {(r.doc_id, r.of_doc_id) for r in got}
+    star = {(2, 1), (None, 1), (None, 2)}  # which of the three stands for them depends on the numbers of the rows
+    assert got - star == {(3, 1), (None, None)} and len(got & star) == 2
 
 
 def test_recall_of_planted_passages(spark):
@@ -168,7 +170,7 @@ def test_recall_of_planted_passages(spark):
             planted.append((2 * k + 1, 2 * k, k % 3))
     got = {(r.doc_id, r.of_doc_id) for r in passages.repeated(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()}
     assert all((b, a) in got for b, a, edits in planted if edits == 0)
-    assert sum((b, a) in got for b, a, _ in planted) >= 0.9 * len(planted) and got <= {(b, a) for b, a, _ in planted}
+    assert sum((b, a) in got for b, a, _ in planted) >= 0.9 * len(planted) and got <= {(2 * k + 1, 2 * k) for k in range(120)}
 
 
 def repeats_of(a, b, least):
@@ -254,6 +256,17 @@ def test_one_hit_with_a_representative_is_enough(spark, monkeypatch):
 
 @pytest.mark.parametrize("moved", [(31, 32), (0, -1), (5, 60)])
 def test_hits_on_moved_diagonals_make_candidates(spark, moved):
-    rows = [(16 * k + 2 * k, i, 0, c, 900) for k, d in enumerate(moved) for i, c in ((1, 100 + 100 * k), (2, 100 + 100 * k + d))]
-    windows = spark.createDataFrame(rows, "key long, id long, l int, c int, r int")
-    assert [tuple(r) for r in passages._gathered(passages._hits(windows, windows), 2).collect()] == [(1, 2)]
+    rows = [(16 * k + 2 * k, i, c, False) for k, d in enumerate(moved) for i, c in ((1, 100 + 100 * k), (2, 100 + 100 * k + d))]
+    windows = spark.createDataFrame(rows, "key long, id long, c int, crowded boolean")
+    hits = passages._hits(windows, windows)
+    pairs = passages._gathered(hits, 2)
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2)]
+    assert [tuple(r) for r in passages._spans(hits, pairs, 92).collect()] == [(1, 8, 285, 2, 100 + moved[0] - 92, 100 + moved[1] - moved[0] + 185)]
+
+
+def test_every_place_of_a_repeat_is_found(spark):
+    passage = words(50, 60)
+    long_ = words(1, 40) + passage + words(2, 700) + passage + words(3, 500) + passage
+    docs = spark.createDataFrame([(1, " ".join(words(4, 300) + passage)), (2, " ".join(long_))], "doc_id long, text string")
+    got = sorted((r.start, r.end) for r in passages.repeated(docs).collect())
+    assert got == [(40, 100), (800, 860), (1360, 1420)]
