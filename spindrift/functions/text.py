@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,12 +15,30 @@ from pyspark.sql.types import DoubleType
 _BLANKS = r"[\s\x1c-\x1f\x85   -     　]+"
 
 
+#: How symbol names fall into words (fixed values): pattern and replacement, one after the other.
+_SPLITS = ((r"_|::", " "), (r"([a-z])([A-Z])", "$1 $2"), (r"([A-Z]+)([A-Z][a-z])", "$1 $2"), (_BLANKS, " "))
+
+
 def tokenize_symbol(name: Column) -> Column:
     """``getUserByID_x`` as ``get User By ID x``."""
-    x = F.regexp_replace(name, r"_|::", " ")
-    x = F.regexp_replace(x, r"([a-z0-9])([A-Z])", "$1 $2")
-    x = F.regexp_replace(x, r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.trim(F.regexp_replace(x, r" +", " "))
+    for pattern, by in _SPLITS:
+        name = F.regexp_replace(name, pattern, by)
+    return F.trim(name)
+
+
+def words_of(text: str) -> list[str]:
+    """``search_words`` of a query's text, on the driver."""
+    for pattern, by in _SPLITS:
+        text = re.sub(pattern, by.replace("$", "\\"), text)
+    out, word = [], ""
+    for c in [*text, " "]:
+        kind = unicodedata.category(c)[0]
+        if kind in "LN" or kind == "M" and word:
+            word += c
+        elif word:
+            out.append(word.lower())
+            word = ""
+    return out
 
 
 def search_words(text: Column) -> Column:

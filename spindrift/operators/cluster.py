@@ -10,13 +10,21 @@ MAX_SIZE, DENSITY, ENTRIES, MIN_SYMBOLS, COHESION = 15, 0.5, 3, 5, 0.25
 
 def by_folder(files: DataFrame, max_size: int = MAX_SIZE) -> DataFrame:
     """``(file, cluster)`` by first path segment; groups over the size are split by the first two, where a path has more than
-    two; clusters of one file are dropped."""
+    two; clusters of one file are dropped. Sizes are counted and joined back, so no folder has to fit a task."""
     parts = F.split("file", "/")
     top = F.when(F.size(parts) > 1, parts[0]).otherwise("_root")
-    sized = files.select("file").distinct().withColumn("top", top).withColumn("n", F.count("*").over(Window.partitionBy("top")))
-    name = F.when((F.col("n") > max_size) & (F.size(parts) > 2), F.concat_ws("/", parts[0], parts[1])).otherwise(F.col("top"))
-    named = sized.withColumn("cluster", name)
-    return named.withColumn("size", F.count("*").over(Window.partitionBy("cluster"))).where("size >= 2").select("file", "cluster")
+    every = files.select("file").distinct().withColumn("top", top)
+    sized = every.join(every.groupBy("top").agg(F.count("*").alias("n")), "top")
+    named = sized.select("file", F.when((F.col("n") > max_size) & (F.size(parts) > 2), F.concat_ws("/", parts[0], parts[1])).otherwise(F.col("top")).alias("cluster"))
+    kept = named.groupBy("cluster").agg(F.count("*").alias("size")).where("size >= 2").select("cluster")
+    return named.join(kept, "cluster", "left_semi").select("file", "cluster")
+
+
+def detect(files: DataFrame, edges: DataFrame, calls: DataFrame, max_size: int = MAX_SIZE, least: float = DENSITY, most: int = ENTRIES) -> DataFrame:
+    """``(cluster, files, density, entries)``: folders that pass the density gate, with their entry symbols."""
+    members = by_folder(files, max_size)
+    passed = dense(members, edges, least).select("cluster", "files", "density")
+    return passed.join(entries(members, calls, most), "cluster")
 
 
 def dense(members: DataFrame, edges: DataFrame, least: float = DENSITY) -> DataFrame:

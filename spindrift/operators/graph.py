@@ -6,9 +6,10 @@ driver over levels, whose number is small and bounded; each level is one join, a
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.plans.runtime import cut
@@ -34,12 +35,17 @@ def followed(edges: DataFrame, static_only: bool | None = False, default: bool =
     return known.distinct()
 
 
-def levels(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
-    """``(depth, node)``: nodes by the least number of edges from the seeds ``(node)``, which never reappear. Empty levels
-    end the walk; the depth is clamped to ``MAX_DEPTH``."""
+def steps_of(edges: DataFrame, reverse: bool = False) -> DataFrame:
+    """``(node, next)``, dealt by node and kept, so that each level of a walk only moves its frontier."""
     at, to = ("callee", "caller") if reverse else ("caller", "callee")
-    steps = edges.select(F.col(at).alias("node"), F.col(to).alias("next"))
-    frontier = seen = seeds.select("node").distinct()
+    return cut(edges.select(F.col(at).alias("node"), F.col(to).alias("next")).repartition("node"))
+
+
+def levels(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, steps: DataFrame | None = None) -> DataFrame:
+    """``(depth, node)``: nodes by the least number of edges from the seeds ``(node)``, which never reappear. Empty levels
+    end the walk; the depth is clamped to ``MAX_DEPTH``. ``steps`` may be given where several walks share them."""
+    steps = steps_of(edges, reverse) if steps is None else steps
+    frontier = seen = cut(seeds.select("node").distinct())
     out = []
     for d in range(1, max(0, min(depth, MAX_DEPTH)) + 1):
         reached = steps.join(frontier, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
@@ -56,11 +62,29 @@ def levels(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False
 def impact(edges: DataFrame, symbols: DataFrame, files: DataFrame, up: int = 3, down: int = 3, labels: int = 5) -> DataFrame:
     """Both directions from all symbols of the given files: per direction and level how many symbols and files are reached,
     the first few file names, and how many more there are. ``symbols`` is ``(node, file)``."""
+    edges = cut(edges)
     seeds = symbols.join(files, "file", "left_semi").select("node")
     both = levels(edges, seeds, up, True).withColumn("direction", F.lit("up")).unionByName(levels(edges, seeds, down).withColumn("direction", F.lit("down")))
-    placed = both.join(symbols, "node", "left")
-    out = placed.groupBy("direction", "depth").agg(F.count_distinct("node").alias("symbols"), F.count_distinct("file").alias("files"), F.array_sort(F.collect_set("file")).alias("names"))
-    return out.select("direction", "depth", "symbols", "files", F.array_join(F.slice("names", 1, labels), ",").alias("labels"), F.greatest(F.lit(0), F.size("names") - labels).alias("more"))
+    placed = both.join(symbols, "node", "left").groupBy("direction", "depth", "file").agg(F.count_distinct("node").alias("n"))
+    order = Window.partitionBy("direction", "depth").orderBy(F.col("file").asc_nulls_last())
+    named = placed.withColumn("r", F.row_number().over(order)).where((F.col("r") <= labels) & F.col("file").isNotNull())
+    first = named.groupBy("direction", "depth").agg(F.array_join(F.array_sort(F.collect_list("file")), ",").alias("labels"))
+    sums = placed.groupBy("direction", "depth").agg(F.sum("n").alias("symbols"), F.count("file").alias("files"))
+    out = sums.join(first, ["direction", "depth"], "left")
+    return out.select("direction", "depth", "symbols", "files", F.coalesce("labels", F.lit("")).alias("labels"), F.greatest(F.lit(0), F.col("files").cast("int") - labels).alias("more"))
+
+
+def dependencies(imports: DataFrame, indexed: DataFrame, files: DataFrame, direction: str = "both", depth: int = 2) -> DataFrame:
+    """``(direction, depth, file, label)`` over ``imports(file, imported)``: what imports the given ``files(file)``, what they
+    import, or both, by levels. Files that are not among ``indexed(file)`` are labelled so; seeds that aren't are ignored."""
+    if direction not in ("up", "down", "both"):
+        raise ValueError("direction must be one of up/down/both")
+    edges = cut(imports.select(F.col("file").alias("caller"), F.col("imported").alias("callee")).where("caller is not null and callee is not null").distinct())
+    seeds = files.join(indexed.select("file").distinct(), "file", "left_semi").select(F.col("file").alias("node"))
+    walks = [levels(edges, seeds, depth, way == "up").withColumn("direction", F.lit(way)) for way in ("up", "down") if direction in (way, "both")]
+    known = indexed.select(F.col("file").alias("node"), F.lit(True).alias("known")).distinct()
+    both = reduce(DataFrame.unionByName, walks).join(known, "node", "left")
+    return both.select("direction", "depth", F.col("node").alias("file"), F.when(F.col("known"), F.col("node")).otherwise(F.concat("node", F.lit(" (not indexed)"))).alias("label"))
 
 
 def adjacency(edges: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,46 +100,85 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, source, target, rounds: int = 15, budget: int = 2000) -> list | None:
-    """Nodes of a shortest path found from both ends, a level of each a round; parents of least node win ties. None beyond
-    the rounds, or once more nodes than the budget were seen at the start of a round."""
+    """Nodes of a shortest path found from both ends, a level of each a round; parents of least node win ties, and of several
+    meeting places the least. None beyond the rounds, or once more nodes than the budget were seen at the start of a round.
+    Parents are looked up one at a time; no table of them reaches the driver."""
     if source == target:
         return [source]
     spark = edges.sparkSession
     kind = edges.schema["caller"].dataType.simpleString()
     begin = lambda x: spark.range(1).select(F.lit(x).cast(kind).alias("node"), F.lit(None).cast(kind).alias("parent"))
     seen = {False: begin(source), True: begin(target)}
-    front = dict(seen)
+    front, size = dict(seen), 2
+    steps = {reverse: steps_of(edges, reverse) for reverse in (False, True)}
+
+    def back(side: bool, node) -> list:
+        out = []
+        while (row := seen[side].where(F.col("node") == F.lit(node)).select("parent").first()) is not None and row[0] is not None:
+            node = row[0]
+            out.append(node)
+        return out
+
     for _ in range(rounds):
-        if sum(x.count() for x in seen.values()) > budget:
+        if size > budget:
             return None
         for reverse in (False, True):
-            at, to = ("callee", "caller") if reverse else ("caller", "callee")
-            steps = edges.select(F.col(at).alias("node"), F.col(to).alias("next"))
-            new = steps.join(front[reverse].select("node"), "node").groupBy("next").agg(F.min("node").alias("parent")).select(F.col("next").alias("node"), "parent")
+            new = steps[reverse].join(front[reverse].select("node"), "node").groupBy("next").agg(F.min("node").alias("parent")).select(F.col("next").alias("node"), "parent")
             front[reverse] = cut(new.join(seen[reverse].select("node"), "node", "left_anti"))
+            size += front[reverse].count()
             seen[reverse] = seen[reverse].unionByName(front[reverse])
-            meet = seen[False].join(seen[True].select("node"), "node").agg(F.min("node")).first()[0]
+            meet = front[reverse].join(seen[not reverse].select("node"), "node").agg(F.min("node")).first()[0]
             if meet is not None:
-                back = {side: {r["node"]: r["parent"] for r in seen[side].limit(budget * 64).collect()} for side in seen}
-                path = [meet]
-                while back[False][path[0]] is not None:
-                    path.insert(0, back[False][path[0]])
-                while back[True][path[-1]] is not None:
-                    path.append(back[True][path[-1]])
-                return path
+                return [*back(False, meet)[::-1], meet, *back(True, meet)]
         if all(x.isEmpty() for x in front.values()):
             return None
     return None
 
 
-def flow(edges: DataFrame, stops: list, rounds: int = 15, budget: int = 2000) -> DataFrame:
-    """``(segment, source, target, hops, found)`` for each two stops that follow each other."""
+def edge_label(provenance: Column, via: Column) -> Column:
+    """What a step of a flow is called."""
+    made = F.when(via.isNotNull(), F.concat(F.lit("synthesized [via: "), via, F.lit("]"))).otherwise("synthesized")
+    return F.when(provenance == "inferred", made).when(provenance == "speculative", "call [speculative resolution]").when(provenance == "probable", "call [name-match]").otherwise("call")
+
+
+def flow(edges: DataFrame, stops: list, rounds: int = 15, budget: int = 2000, labelled: DataFrame | None = None) -> DataFrame:
+    """``(segment, step, node, label, hops, found)``: the nodes of a path between each two stops that follow each other, the
+    first with step 0 and no label. Two stops without a path, or one that is None, give one row that is not found.
+    ``labelled`` is ``(caller, callee, provenance, via)``; of several edges between two nodes the least by name counts."""
     spark, rows = edges.sparkSession, []
+    edges = cut(edges)
     for k, (a, b) in enumerate(zip(stops, stops[1:]), 1):
-        path = shortest_path(edges, a, b, rounds, budget)
-        rows.append((k, a, b, len(path) - 1 if path else None, path is not None))
+        path = shortest_path(edges, a, b, rounds, budget) if a is not None and b is not None else None
+        if path is None:
+            rows.append((k, 0, a, None, None, False))
+        for step, node in enumerate(path or []):
+            rows.append((k, step, node, path[step - 1] if step else None, len(path) - 1, True))
     kind = edges.schema["caller"].dataType.simpleString()
-    return spark.createDataFrame(rows, f"segment int, source {kind}, target {kind}, hops int, found boolean")
+    out = spark.createDataFrame(rows, f"segment int, step int, node {kind}, caller {kind}, hops int, found boolean")
+    if labelled is None:
+        return out.select("segment", "step", "node", F.when(F.col("caller").isNotNull(), "call").alias("label"), "hops", "found")
+    least = labelled.groupBy("caller", F.col("callee").alias("node")).agg(F.min(F.struct("provenance", "via")).alias("m"))
+    named = out.join(least, ["caller", "node"], "left")
+    return named.select("segment", "step", "node", F.when(F.col("caller").isNotNull(), edge_label(F.col("m.provenance"), F.col("m.via"))).alias("label"), "hops", "found")
+
+
+def named_symbols(symbols: DataFrame, names: list[str]) -> DataFrame:
+    """``(name, node, hint)`` of the symbols ``(node, file, symbol, short_name)`` that each name may mean: ``path:name`` within
+    paths that contain it, ``Class.method`` or ``ns::name`` by its last part with the rest as a hint, or a bare name. A hint that
+    some candidate's file or name contains keeps only those that do."""
+    out = None
+    for name in names:
+        path, hint, last = "", "", name
+        if "/" in name and ":" in name:
+            path, last = name.rsplit(":", 1)
+        elif "::" in name or "." in name:
+            hint, last = name.rsplit("::" if "::" in name else ".", 1)
+        found = symbols.where((F.col("symbol") == last) | (F.col("short_name") == last)).where(F.contains("file", F.lit(path)))
+        whole = F.lower(F.concat("file", F.lit("::"), "symbol"))
+        one = found.select(F.lit(name).alias("name"), "node", F.contains(whole, F.lit(hint.lower())).alias("hint"))
+        out = one if out is None else out.unionByName(one)
+    best = out.groupBy("name").agg(F.max("hint").alias("some"))
+    return out.join(best, "name").where("hint = some").select("name", "node", "hint")
 
 
 def choose_symbol(candidates: DataFrame, edges: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -128,8 +191,24 @@ def choose_symbol(candidates: DataFrame, edges: DataFrame, resolved: DataFrame)
     return ranked.withColumn("o", order).groupBy("name").agg(F.min_by("node", "o").alias("node"), F.count("*").alias("candidates"))
 
 
-def affected(edges: DataFrame, touched: DataFrame, changed_names: DataFrame) -> DataFrame:
-    """Edges to resolve anew after a change: those of touched callers or to names that changed; distinct."""
-    one = edges.join(touched.select(F.col("node").alias("caller")), "caller", "left_semi")
-    two = edges.join(changed_names.select(F.col("node").alias("callee")), "callee", "left_semi")
-    return one.unionByName(two.select(*one.columns)).distinct()
+def affected(edges: DataFrame, touched: DataFrame, changed_names: DataFrame, hosts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a change makes resolve anew, over ``(edge, file, callee, callee_file, provenance)``: the edges, but for derived ones,
+    of ``touched(file)``, to ``changed_names(name)`` or in ``hosts(file)``, whose imports may now mean something else; and
+    the files ``(file)`` whose derived facts may differ by it: those touched, those of the edges and what the edges led to."""
+    direct = edges.where(~F.coalesce(F.col("provenance") == "inferred", F.lit(False)))
+    near = touched.select("file").unionByName(hosts.select("file")).distinct().withColumn("near", F.lit(True))
+    named = changed_names.select(F.col("name").alias("callee")).distinct().withColumn("named", F.lit(True))
+    hit = direct.join(near, "file", "left").join(named, "callee", "left").where("near or named").select(*edges.columns)
+    files = touched.select("file").unionByName(hit.select("file")).unionByName(hit.select(F.col("callee_file").alias("file")))
+    return hit, files.where("file is not null").distinct()
+
+
+def import_hosts(bindings: DataFrame, changed: DataFrame) -> DataFrame:
+    """``(file)``: those with a binding ``(file, module)`` outside the standard library whose file may be one of the paths that
+    were added or removed, ``changed(path)``."""
+    place = F.replace("module", F.lit("."), F.lit("/"))
+    wanted = bindings.where((F.col("module") != "") & ~F.split("module", r"\.")[0].isin(*sorted(sys.stdlib_module_names)))
+    wanted = wanted.select("file", F.explode(F.array(F.concat(place, F.lit(".py")), F.concat(place, F.lit("/__init__.py")))).alias("suffix"))
+    parts = F.split("path", "/")
+    ends = changed.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("suffix")).distinct()
+    return wanted.join(ends, "suffix", "left_semi").select("file").distinct()

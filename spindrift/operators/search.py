@@ -1,10 +1,15 @@
-"""Text retrieval over documents of named, weighted columns: postings, BM25, channels and their merge.
+"""Text retrieval over one table of nodes: a stored index of postings, BM25, channels and their merge.
 
-Documents are ``(doc, <columns>)``. Postings are ``(doc, column, token, n)``; all statistics come from them.
+The index holds ``(kind, ref, column, token, pos)`` in the order of tokens, so that a query reads the ranges of its terms only,
+with a table of document lengths and one row of totals. Symbols are ``(ref, file, name, short_name, type, line, language)``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,114 +17,253 @@ from spindrift.functions import text as X
 
 K1, B = 1.2, 0.75
 CHANNELS = ("exact", "prefix", "bm25", "fuzzy")
-CUTOFF = 0.6
+MODES = ("all", "any", "phrase")
+CUTOFF, CANDIDATES, MOST = 0.6, 5, 50
+#: Types of symbols that may be asked for, and what a language may be called (fixed values).
+TYPES = ("function", "class", "struct", "enum", "typedef", "macro", "namespace", "interface", "type_alias")
+LANGUAGES = {
+    "python": ("pythonparser", "python"),
+    "c_cpp": ("ccppparser", "c_cpp", "c", "cpp"),
+    "typescript": ("tsparser", "typescript", "ts", "tsx"),
+    "rust": ("rustparser", "rust", "rs"),
+}
+#: Weights of the columns for symbols, and for files and clusters (fixed values).
+SYMBOL_WEIGHTS = {"summary_short": 5.0, "summary_full": 1.0}
+NODE_WEIGHTS = {"name": 1.0, "name_tokens": 1.0, "signature": 0.0, "file_path": 0.5, "summary_short": 5.0, "summary_full": 1.0}
 _TOKEN = r"([\p{L}\p{N}]+)"
 #: Letters with marks and what full-text search folds them to (fixed values).
 _MARKED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+@dataclass(frozen=True)
+class Query:
+    text: str
+    words: tuple[str, ...]
+    match: str = "all"
+    limit: int = 10
+    path: str = ""
+    languages: tuple[str, ...] = ()
+    type: str = ""
+
+
+@dataclass(frozen=True)
+class Problem:
+    """Why a query can't be run; returned, not raised."""
+
+    message: str
+
+
+def make_query(text, limit=10, file_hint="", match="all", language="", symbol_type="", path_hint="", most: int = MOST) -> Query | Problem:
+    """The query, or the first thing that is wrong with it."""
+    names = {"text": text, "match": match, "file_hint": file_hint, "path_hint": path_hint, "language": language, "symbol_type": symbol_type}
+    for name, value in names.items():
+        if not isinstance(value, str):
+            return Problem(f"{name} must be a string")
+        if name.endswith("_hint") and "\0" in value:
+            return Problem(f"{name} must not contain NUL")
+        if name in ("language", "symbol_type") and value and not value.strip():
+            return Problem(f"{name} must not contain only whitespace")
+    if not text.strip():
+        return Problem("text must not be empty")
+    words = tuple(X.words_of(text))
+    if not words:
+        return Problem("text must contain at least one searchable word")
+    if isinstance(limit, bool) or not isinstance(limit, int):
+        return Problem("limit must be an integer")
+    if not 1 <= limit <= most:
+        return Problem(f"limit must be between 1 and {most}")
+    mode, tongue, kind = (x.strip().lower() for x in (match, language, symbol_type))
+    if mode not in MODES:
+        return Problem("match must be one of: all, any, phrase")
+    paths = {p for x in (file_hint, path_hint) if (p := x.strip().replace("\\", "/").lower())}
+    if len(paths) > 1:
+        return Problem("file_hint and path_hint must not conflict")
+    if tongue and tongue not in LANGUAGES:
+        return Problem("language must be one of: " + ", ".join(LANGUAGES))
+    if kind and kind not in TYPES:
+        return Problem("symbol_type must be one of: " + ", ".join(sorted(TYPES)))
+    return Query(text.strip(), words, mode, limit, next(iter(paths), ""), LANGUAGES.get(tongue, ()), kind)
+
+
+def fitting(symbols: DataFrame, q: Query) -> DataFrame:
+    """The symbols that a query's filters leave."""
+    if q.languages:
+        symbols = symbols.where(F.lower("language").isin(*q.languages))
+    if q.type:
+        symbols = symbols.where(F.lower("type") == q.type)
+    return symbols.where(F.contains(X.normalize_path(F.col("file")), F.lit(q.path))) if q.path else symbols
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits, marks folded away."""
     return F.regexp_extract_all(F.translate(F.lower(text), _MARKED, _PLAIN), F.lit(_TOKEN), F.lit(1))
 
 
-def postings(docs: DataFrame, columns: list[str]) -> DataFrame:
-    parts = [docs.select("doc", F.lit(c).alias("column"), F.explode(tokens(F.col(c))).alias("token")) for c in columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("doc", "column", "token").agg(F.count("*").alias("n"))
+@dataclass
+class Index:
+    postings: DataFrame  #: (kind, ref, column, token, pos)
+    lengths: DataFrame  #: (kind, ref, length)
+    totals: DataFrame  #: one row (docs, tokens)
+
+
+def build(docs: DataFrame, columns: tuple[str, ...], keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Index:
+    """The index of documents ``(node_kind, node_ref, <columns>)``, each tokenised once; ``keep`` stores its tables."""
+    lists = F.array(*(F.struct(F.lit(c).alias("column"), tokens(F.coalesce(c, F.lit(""))).alias("tokens")) for c in columns))
+    each = docs.select(F.col("node_kind").alias("kind"), F.col("node_ref").alias("ref"), F.explode(lists).alias("x"))
+    rows = each.select("kind", "ref", "x.column", F.posexplode("x.tokens").alias("pos", "token"))
+    postings = keep(rows.select("kind", "ref", "column", "token", "pos").repartitionByRange("token").sortWithinPartitions("token"), "postings")
+    counted = docs.select(F.col("node_kind").alias("kind"), F.col("node_ref").alias("ref")).join(postings.groupBy("kind", "ref").agg(F.count("*").alias("length")), ["kind", "ref"], "left").na.fill(0)
+    lengths = keep(counted, "lengths")
+    return Index(postings, lengths, keep(lengths.agg(F.count("*").alias("docs"), F.sum("length").alias("tokens")), "totals"))
 
 
-def bm25(index: DataFrame, n_docs: DataFrame, terms: list[str], weights: dict[str, float], prefix: bool = True, require_all: bool = False) -> DataFrame:
-    """``(doc, score, matched)``, lower scores first. Lengths and their mean count all columns of all documents, a term's
-    document frequency only those with weight. ``n_docs`` holds the number of documents as ``docs``."""
-    lengths = index.groupBy("doc").agg(F.sum("n").alias("length"))
-    totals = lengths.agg(F.sum("length").alias("all"))
-    fits = (lambda t: F.startswith("token", F.lit(t))) if prefix else (lambda t: F.col("token") == t)
-    matching = F.array_compact(F.array(*(F.when(fits(t), F.lit(i)) for i, t in enumerate(terms))))
+def _occurrences(index: Index, terms: list[str], columns: list[str], phrase: bool) -> DataFrame:
+    """``(kind, ref, column, q, n)``: how often each term begins a token of a column, or how often the phrase stands in it."""
+    rows = index.postings.where(F.col("column").isin(*columns))
+    if phrase:
+        words = rows.where(F.col("token").isin(*set(terms)))
+        places = F.array_compact(F.array(*(F.when(F.col("token") == t, F.lit(i)) for i, t in enumerate(terms))))
+        starts = words.select("kind", "ref", "column", "pos", F.explode(places).alias("i")).groupBy("kind", "ref", "column", (F.col("pos") - F.col("i")).alias("at")).agg(F.count("*").alias("hit"))
+        return starts.where(F.col("hit") == len(terms)).groupBy("kind", "ref", "column").agg(F.count("*").alias("n")).withColumn("q", F.lit(0))
+    begins = [F.startswith("token", F.lit(t)) for t in terms]
+    matching = F.array_compact(F.array(*(F.when(b, F.lit(i)) for i, b in enumerate(begins))))
+    return rows.where(reduce(lambda a, b: a | b, begins)).select("kind", "ref", "column", F.explode(matching).alias("q")).groupBy("kind", "ref", "column", "q").agg(F.count("*").alias("n"))
+
+
+def bm25(index: Index, terms: list[str], weights: dict[str, float], match: str = "any") -> DataFrame:
+    """``(kind, ref, score, matched)``, lower scores first: documents of all kinds that match a term in a weighted column, all
+    terms, or their phrase. Lengths and their mean count all columns of all documents, a term's document frequency only those
+    with a weight."""
     weigh = F.create_map(*(x for c, w in weights.items() for x in (F.lit(c), F.lit(float(w)))))
-    hits = index.where(F.col("column").isin(*weights)).withColumn("q", F.explode(matching))
-    hits = hits.groupBy("doc", "q").agg(F.sum(weigh[F.col("column")] * F.col("n")).alias("f"))
+    found = _occurrences(index, list(terms), list(weights), match == "phrase")
+    hits = found.groupBy("kind", "ref", "q").agg(F.sum(F.try_element_at(weigh, F.col("column")) * F.col("n")).alias("f"))
     frequency = hits.groupBy("q").agg(F.count("*").alias("nq"))
-    # one row of totals, and as many rows as the query has terms
-    facts = F.broadcast(frequency.join(F.broadcast(totals.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).join(F.broadcast(n_docs.withColumn("uno", F.lit(1))), F.lit(1) == F.col("uno")))
-    idf = F.log((F.col("docs") - F.col("nq") + 0.5) / (F.col("nq") + 0.5))
+    docs, all_ = index.totals.select("docs").scalar(), index.totals.select("tokens").scalar()
+    # as many rows as the query has terms
+    scored = hits.join(F.broadcast(frequency), "q").join(index.lengths, ["kind", "ref"])
+    idf = F.log((docs - F.col("nq") + 0.5) / (F.col("nq") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    scored = hits.join(facts, "q").join(lengths, "doc")
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / (F.col("all") / F.col("docs"))))
-    out = scored.groupBy("doc").agg((-F.sum(part)).alias("score"), F.count("*").alias("matched"))
-    return out.where(F.col("matched") == len(terms)) if require_all else out
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / (all_ / docs)))
+    out = scored.groupBy("kind", "ref").agg((-F.sum(part)).alias("score"), F.count("*").alias("matched"))
+    return out.where(F.col("matched") == len(terms)) if match == "all" else out
+
 
+def _place() -> list[Column]:
+    return [F.lower("name"), F.col("name"), F.col("file"), F.coalesce("line", F.lit(0))]
 
-def bm25_any(index: DataFrame, n_docs: DataFrame, terms: list[str], weights: dict[str, float], cap: int) -> DataFrame:
-    """Each term by itself, cut at the cap; then most terms first, then the sum of ranks."""
-    out = None
-    for t in terms:
-        w = Window.orderBy("score", "doc")
-        one = bm25(index, n_docs, [t], weights).orderBy("score", "doc").limit(cap).withColumn("rank", F.row_number().over(w)).select("doc", "rank")
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("doc").agg(F.count("*").alias("coverage"), F.sum("rank").alias("ranks"))
 
+def _ranked(rows: DataFrame, channel: str, limit: int, *order: Column) -> DataFrame:
+    """``(ref, name, file, line, type, channel, rank)`` of the first ``limit`` rows; only those reach the one task that ranks
+    them."""
+    first = rows.orderBy(*order, *_place()).limit(limit)
+    rank = F.row_number().over(Window.orderBy(*order, *_place()))
+    return first.withColumn("rank", rank).select("ref", "name", "file", "line", "type", F.lit(channel).alias("channel"), "rank")
 
-def exact(symbols: DataFrame, text: str) -> DataFrame:
-    """Symbols ``(doc, name, short_name, path, line)`` whose name or short name is the text, apart from case."""
-    wanted = F.lower(F.lit(text))
-    return symbols.where((F.lower("name") == wanted) | (F.lower("short_name") == wanted))
 
+def exact(symbols: DataFrame, q: Query) -> DataFrame:
+    """Symbols whose name or short name is the text, apart from case."""
+    wanted = F.lower(F.lit(q.text))
+    return fitting(symbols, q).where((F.lower("name") == wanted) | (F.lower("short_name") == wanted))
 
-def prefix(symbols: DataFrame, text: str, terms: list[str], match: str = "all") -> DataFrame:
-    """Symbols whose words the terms begin - all or any of them - or that hold them as a phrase; with ``category``, best 0,
-    and ``hits`` to order them by."""
-    words, bare = X.search_words(F.col("name")), F.lower("name")
+
+def prefix(symbols: DataFrame, q: Query) -> DataFrame:
+    """Symbols whose words the query's words begin - all or any of them - or that hold them as a phrase; with ``category``, best
+    0, and ``hits`` to order them by."""
+    words, bare, terms = X.search_words(F.col("name")), F.lower("name"), list(q.words)
     hits = X.word_prefix_count(words, terms)
-    keep = {"all": hits == len(terms), "any": hits > 0, "phrase": X.contains_phrase(words, terms)}[match]
-    plain, joined = F.lower(F.lit(text)), F.lit(" ".join(terms))
+    keep = {"all": hits == len(terms), "any": hits > 0, "phrase": X.contains_phrase(words, terms)}[q.match]
+    plain, joined = F.lower(F.lit(q.text)), F.lit(" ".join(terms))
     spaced = F.array_join(words, " ")
-    category = F.when(bare == plain, 0).when(spaced == joined, 1).when(F.startswith(bare, plain), 2).when(F.startswith(spaced, joined), 3).when(hits == len(terms), 4).when(F.contains(bare, plain), 5).otherwise(6)
-    return symbols.where(keep).withColumn("category", category).withColumn("hits", hits)
+    category = F.when(bare == plain, 0).when(spaced == joined, 1).when(F.startswith(bare, plain), 2).when(F.startswith(spaced, joined), 3).when(hits > 0, 4).when(F.contains(bare, plain), 5).when(F.contains(spaced, joined), 6).otherwise(7)
+    return fitting(symbols, q).where(keep).withColumn("category", category).withColumn("hits", hits)
 
 
-def fuzzy(symbols: DataFrame, text: str, cutoff: float = CUTOFF) -> DataFrame:
-    """Symbols whose name is similar enough; lengths that rule it out are dropped before the ratio is taken."""
-    low, wanted = F.lower("name"), F.lower(F.lit(text))
-    near = symbols.where(X.may_reach(low, wanted, cutoff)).withColumn("ratio", X.ratio(low, wanted))
+def fuzzy(symbols: DataFrame, q: Query, cutoff: float = CUTOFF) -> DataFrame:
+    """Symbols whose name is similar enough; lengths that rule it out are dropped before the ratio is taken. A text of several
+    words is like none."""
+    low, wanted = F.lower("name"), F.lower(F.lit(q.text))
+    near = fitting(symbols, q).where(F.lit(len(q.text.split()) == 1) & X.may_reach(low, wanted, cutoff)).withColumn("ratio", X.ratio(low, wanted))
     return near.where(F.col("ratio") >= cutoff)
 
 
-def ranked(hits: DataFrame, channel: str, *order) -> DataFrame:
-    return hits.select("doc", F.lit(channel).alias("channel"), F.row_number().over(Window.orderBy(*order, "doc")).alias("rank"))
+def by_text(symbols: DataFrame, index: Index, q: Query) -> DataFrame:
+    """Symbols by BM25 of their summaries, with ``coverage`` and ``score``. Several words of which any may match are looked up
+    one by one and each cut at five times the limit; then most words come first, then the sum of scores."""
+    cap, kept = CANDIDATES * q.limit, fitting(symbols, q)
+
+    def scored(terms, match) -> DataFrame:
+        found = bm25(index, terms, SYMBOL_WEIGHTS, match).where("kind = 'symbol'").select("ref", "score")
+        return kept.join(found, "ref").orderBy("score", *_place()).limit(cap)
+
+    if q.match == "any" and len(q.words) > 1:
+        each = reduce(DataFrame.unionByName, (scored([t], "any") for t in q.words))
+        sums = each.groupBy("ref").agg(F.count("*").alias("coverage"), F.sum("score").alias("score"))
+        return kept.join(sums, "ref")
+    return scored(q.words, q.match).withColumn("coverage", F.lit(1))
+
 
+def truncation(symbols: DataFrame, index: Index, q: Query) -> DataFrame:
+    """``(term, candidates, truncated)``: how many symbols a term finds, up to five times the limit, and whether there are
+    more; a query that isn't looked up word by word is one term."""
+    cap, kept = CANDIDATES * q.limit, fitting(symbols, q)
+    apart = q.match == "any" and len(q.words) > 1
+    rows = []
+    for terms in [(t,) for t in q.words] if apart else [q.words]:
+        found = bm25(index, list(terms), SYMBOL_WEIGHTS, "any" if apart else q.match).where("kind = 'symbol'").select("ref")
+        n = kept.join(found, "ref").limit(cap + 1).agg(F.count("*").alias("n"))
+        rows.append(n.select(F.lit(" ".join(terms)).alias("term"), F.least("n", F.lit(cap)).alias("candidates"), (F.col("n") > cap).alias("truncated")))
+    return reduce(DataFrame.unionByName, rows)
 
-def merge(channels: DataFrame, limit: int) -> DataFrame:
-    """``(position, doc, channel, rank, sources)``: one row for each document over ``(doc, channel, rank)``; the best channel
-    gives its rank, all are kept as sources, and the limit cuts after the merge."""
+
+def channels(symbols: DataFrame, index: Index, q: Query) -> dict[str, DataFrame]:
+    """Each channel's ranked symbols, cut at the limit."""
+    return {
+        "exact": _ranked(exact(symbols, q), "exact", q.limit),
+        "prefix": _ranked(prefix(symbols, q), "prefix", q.limit, F.col("category"), F.desc("hits")),
+        "bm25": _ranked(by_text(symbols, index, q), "bm25", q.limit, F.desc("coverage"), F.col("score")),
+        "fuzzy": _ranked(fuzzy(symbols, q), "fuzzy", q.limit, F.desc("ratio")),
+    }
+
+
+def merge(ranked: DataFrame, limit: int) -> DataFrame:
+    """``(position, ref, name, file, line, type, channel, rank, sources)``: one row for each node; the best channel gives its
+    rank, all are kept as sources, and the limit cuts after the merge."""
     order = F.element_at(F.create_map(*(x for i, c in enumerate(CHANNELS) for x in (F.lit(c), F.lit(i)))), F.col("channel"))
-    seen = channels.withColumn("priority", order)
-    one = seen.groupBy("doc").agg(F.min(F.struct("priority", "rank")).alias("best"), F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("priority", "channel"))), lambda s: s["channel"]), ",").alias("sources"))
-    one = one.select("doc", "best.priority", "best.rank", "sources").orderBy("priority", "rank", "doc").limit(limit)
-    return one.select(F.row_number().over(Window.orderBy("priority", "rank", "doc")).alias("position"), "doc", F.element_at(F.array(*map(F.lit, CHANNELS)), F.col("priority") + 1).alias("channel"), "rank", "sources")
-
-
-def search(symbols: DataFrame, index: DataFrame, n_docs: DataFrame, text: str, limit: int = 10, match: str = "all", weights: dict[str, float] | None = None) -> DataFrame:
-    """All channels over symbols and their documents; the fuzzy one only where all others are empty and the text is a single
-    word. Bad input raises before any plan is built."""
-    import re
-
-    if not text or not text.strip():
-        raise ValueError("the text is empty")
-    if match not in ("all", "any", "phrase"):
-        raise ValueError(f"unknown match {match!r}")
-    if not 1 <= limit <= 200:
-        raise ValueError("the limit must be between 1 and 200")
-    terms = re.findall(r"[^\W_]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text.strip()).lower())
-    weights = weights or {"short": 5.0, "full": 1.0}
-    channels = ranked(exact(symbols, text), "exact", F.lower("name"), "name", "path", F.coalesce("line", F.lit(0)))
-    if terms:
-        channels = channels.unionByName(ranked(prefix(symbols, text, terms, match), "prefix", "category", F.desc("hits"), F.lower("name"), "name", "path"))
-        found = bm25_any(index, n_docs, terms, weights, 5 * limit) if match == "any" else bm25(index, n_docs, terms, weights, require_all=True)
-        order = (F.desc("coverage"), "ranks") if match == "any" else ("score",)
-        channels = channels.unionByName(ranked(found.orderBy(*order, "doc").limit(5 * limit), "bm25", *order))
-    if len(text.split()) == 1 and channels.isEmpty():
-        channels = ranked(fuzzy(symbols, text), "fuzzy", F.desc("ratio"), F.lower("name"), "name", "path")
-    return merge(channels, limit)
+    seen = ranked.withColumn("priority", order)
+    sources = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("priority", "channel", "rank"))), lambda s: F.concat(s["channel"], F.lit("#"), s["rank"].cast("string"))), ", ")
+    one = seen.groupBy("ref", "name", "file", "line", "type").agg(F.min(F.struct("priority", "rank")).alias("best"), sources.alias("sources"))
+    by = [F.col("priority"), F.col("rank"), *_place()]
+    first = one.select("ref", "name", "file", "line", "type", "best.priority", "best.rank", "sources").orderBy(*by).limit(limit)
+    return first.select(F.row_number().over(Window.orderBy(*by)).alias("position"), "ref", "name", "file", "line", "type", F.element_at(F.array(*map(F.lit, CHANNELS)), F.col("priority") + 1).alias("channel"), "rank", "sources")
+
+
+def found(symbols: DataFrame, index: Index, q: Query) -> DataFrame:
+    """All channels merged; the fuzzy one only where the others find nothing."""
+    each = channels(symbols, index, q)
+    out = merge(reduce(DataFrame.unionByName, (each[c] for c in CHANNELS[:3])), q.limit)
+    return merge(each["fuzzy"], q.limit) if out.isEmpty() else out
+
+
+def search(symbols: DataFrame, index: Index, details: DataFrame, text: str, limit: int = 10, file_hint: str = "", match: str = "all", language: str = "", symbol_type: str = "", path_hint: str = "") -> DataFrame | Problem:
+    """The search tool: what was found, with ``details(ref, layer, signature, summary)``; or what is wrong with the request."""
+    q = make_query(text, limit, file_hint, match, language, symbol_type, path_hint)
+    return q if isinstance(q, Problem) else found(symbols, index, q).join(details, "ref", "left")
+
+
+def nodes(index: Index, q: Query, kind: str, quota: int) -> DataFrame:
+    """``(kind, ref, rank)``: files or clusters by BM25 of all columns, any word."""
+    best = bm25(index, list(q.words), NODE_WEIGHTS, "any").where(F.col("kind") == kind).orderBy("score", "ref").limit(quota)
+    return best.select("kind", "ref", F.row_number().over(Window.orderBy("score", "ref")).alias("rank"))
+
+
+def navigate(symbols: DataFrame, index: Index, intent: str, top: int = 5, clusters: int = 5, files: int = 10, most: int = 10) -> DataFrame | Problem:
+    """``(kind, ref, rank, sources)``: candidates for an intent - so many clusters, files and symbols at most - in their heuristic
+    order, symbols before files before clusters, cut at ``top``."""
+    q = make_query(intent, min(most, MOST), match="any")
+    if isinstance(q, Problem):
+        return q
+    each = [nodes(index, q, kind, quota).withColumn("sources", F.concat(F.lit("bm25#"), F.col("rank").cast("string"))) for kind, quota in (("cluster", clusters), ("file", files))]
+    named = found(symbols, index, q).select(F.lit("symbol").alias("kind"), "ref", F.col("position").alias("rank"), "sources")
+    every = reduce(DataFrame.unionByName, [*each, named])
+    order = F.when(F.col("kind") == "symbol", 0).when(F.col("kind") == "file", 1).otherwise(2)
+    return every.withColumn("o", order).orderBy("o", "rank").limit(top).drop("o")

@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 USABLE = ("ok", "oversized_warn")
 #: Next status by status and event (fixed values); any other event leaves a status as it is, unknown statuses are corrupt.
 TRANSITIONS = {
-    ("pending", "success"): "ok", ("pending", "failure"): "corrupt", ("pending", "oversized"): "oversized_warn", ("pending", "oversized_twice"): "oversized_hard",
-    ("ok", "source_changed"): "stale", ("oversized_warn", "source_changed"): "stale", ("stale", "regenerate"): "pending", ("corrupt", "regenerate"): "pending", ("oversized_hard", "regenerate"): "pending",
-}
+    ("pending", "llm_success"): "ok",
+    ("pending", "llm_failure"): "pending",
+    ("pending", "parse_failure"): "corrupt",
+    ("ok", "mark_stale"): "stale",
+    ("ok", "parse_failure"): "corrupt",
+    ("stale", "rewrite_success"): "ok",
+    ("stale", "llm_failure"): "pending",
+    ("oversized_warn", "mark_stale"): "stale",
+    ("oversized_hard", "mark_stale"): "stale",
+}
 STATUSES = ("pending", "ok", "stale", "corrupt", "oversized_warn", "oversized_hard")
 _KEY = ("kind", "ref")
 
@@ -57,22 +64,57 @@ def child_changes(versions: DataFrame, parents: DataFrame, usable: Column | None
     return both.join(parents, list(_KEY)).select("parent", "ref", F.col("previous_summary").alias("before"), F.col("summary").alias("after"))
 
 
+def same_summary(now: Column, before: Column) -> Column:
+    """Whether two summaries are the same text or the same JSON value; a missing one is like no other."""
+    canonical = lambda x: F.to_json(F.try_parse_json(x))
+    return now.isNotNull() & before.isNotNull() & ((now == before) | F.coalesce(canonical(now) == canonical(before), F.lit(False)))
+
+
 def change_counters(versions: DataFrame, parents: DataFrame, usable_parents: DataFrame) -> DataFrame:
-    """``(parent, changes)``: versions of children that differ from the one before, for parents with a usable summary."""
-    changed = previous(versions).where(~F.col("summary").eqNullSafe(F.col("previous_summary")))
+    """``(parent, changes)``: usable versions of children that differ from the one before, whatever its status, for parents
+    with a usable summary. A first version and one after a version without summary are changes."""
+    changed = previous(versions).where(F.col("status").isin(*USABLE) & ~same_summary(F.col("summary"), F.col("previous_summary")))
     return changed.join(parents, list(_KEY)).join(usable_parents, "parent", "left_semi").groupBy("parent").agg(F.count("*").alias("changes"))
 
 
-def decide(counters: DataFrame, primary: int = 50, backup: int = -1, days: int = 30) -> DataFrame:
+def decide(counters: DataFrame, primary: int = 50, backup: int = 0, days: int = 30) -> DataFrame:
     """``decision`` for parents ``(parent, changes, leaves, age_days, real_changes, judged)``: forced rewrite first, then
-    nothing to do, then the judgement."""
-    forced = F.col("changes") >= primary
-    if backup >= 0:
-        forced = forced | (F.col("leaves") >= backup)
-    forced = forced | (F.col("age_days") >= days)
+    nothing to do, then the judgement. A threshold of 0 or less switches its test off."""
+    forced = F.lit(False)
+    for column, least in (("changes", primary), ("leaves", backup), ("age_days", days)):
+        if least > 0:
+            forced = forced | F.coalesce(F.col(column) >= least, F.lit(False))
     return counters.withColumn("decision", F.when(forced, "force").when(F.col("real_changes") == 0, "reset").when(F.col("judged"), "rewrite").otherwise("keep"))
 
 
+def generated(answers: Column, limit: int) -> Column:
+    """``(payload, status)`` from an array of a model's answers in the order of calls: the first, one more where that has no
+    short text, and one more where the text is over 1.5 times the limit.
+
+    No answer, or one that begins with ``Error:``, leaves the node pending; what isn't JSON, or lacks a short text twice, is
+    corrupt. A text up to 1.2 times the limit is ok and one up to 1.5 times is kept with a warning. A longer one is replaced by
+    the last answer: if that is JSON without a short text it is corrupt, up to 1.2 times the limit ok, else oversized_hard;
+    without a last answer the first text stays, as oversized_hard."""
+    answer = lambda k: F.try_element_at(answers, F.lit(k))
+    parsed = lambda x: F.when(~F.startswith(x, F.lit("Error:")), F.try_parse_json(x))
+    kind = lambda v, path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    text = lambda v, path: F.when(kind(v, path) == "STRING", F.try_variant_get(v, path, "string"))
+    has = lambda v: F.coalesce(F.trim(text(v, "$.short")) != "", F.lit(False))
+    size = lambda v: F.greatest(F.coalesce(F.length(text(v, "$.short")), F.lit(0)), F.coalesce(F.length(text(v, "$.full")), F.lit(0)))
+    out = lambda payload, status: F.struct(payload.alias("payload"), F.lit(status).alias("status"))
+    none = F.lit(None).cast("string")
+
+    def judged(v: Column, raw: Column, last: Column) -> Column:
+        then = parsed(last)
+        longer = F.when(then.isNull(), out(raw, "oversized_hard")).when(~has(then), out(none, "corrupt")).when(size(then) <= 1.2 * limit, out(last, "ok")).otherwise(out(last, "oversized_hard"))
+        return F.when(size(v) <= 1.2 * limit, out(raw, "ok")).when(size(v) <= 1.5 * limit, out(raw, "oversized_warn")).otherwise(longer)
+
+    one, two = parsed(answer(1)), parsed(answer(2))
+    failed = answer(1).isNull() | F.startswith(answer(1), F.lit("Error:"))
+    again = F.when(two.isNull() | ~has(two), out(none, "corrupt")).otherwise(judged(two, answer(2), answer(3)))
+    return F.when(failed, out(none, "pending")).when(one.isNull(), out(none, "corrupt")).when(~has(one), again).otherwise(judged(one, answer(1), answer(2)))
+
+
 def transition(status: Column, event: Column) -> Column:
     """Next status; an unknown status is corrupt, an undefined event changes nothing."""
     out = F.when(~status.isin(*STATUSES) | status.isNull(), "corrupt")

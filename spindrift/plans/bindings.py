@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.plans.runtime import table
+from spindrift.operators import projection, search
+from spindrift.plans.runtime import keeper, table
 
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 
@@ -71,14 +72,64 @@ def usable_props():
     return F.get_json_object("summary", "$.k").isNotNull()
 
 
-def part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as named symbols."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.col("p_name").alias("name"), F.col("p_brand").alias("short_name"), F.col("p_type").alias("path"), F.col("p_size").alias("line"))
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands within types of parts as files ``(path, language, type)``."""
+    p = table(spark, sf_dir, "part").select("p_type", "p_brand").distinct()
+    number = F.split_part("p_brand", F.lit("#"), F.lit(2)).cast("int")
+    language = F.when(number % 3 == 0, "python").when(number % 3 == 1, "ts").otherwise("rust")
+    return p.select(_path().alias("path"), language.alias("language"), F.col("p_type").alias("type"))
 
 
-def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their source as name and their text in full."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("short"), F.col("text").alias("full"))
+def _path():
+    return F.concat(F.lower("p_type"), F.lit("/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit(".py"))
+
+
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as symbols ``(ref, file, name, short_name, type, args, line, language, key)`` of those files."""
+    p = table(spark, sf_dir, "part")
+    short = F.replace("p_name", F.lit(" "), F.lit("_"))
+    kind = F.element_at(F.array(*map(F.lit, ("function", "class", "struct"))), F.col("p_size") % 3 + 1)
+    rows = p.select(_path().alias("file"), F.concat(short, F.lit("_"), F.col("p_partkey").cast("string")).alias("name"), short.alias("short_name"), kind.alias("type"), F.concat(F.lit("("), "p_name", F.lit(", x)")).alias("args"), F.col("p_size").alias("line"), F.col("p_partkey").alias("key"))
+    files = code_files(spark, sf_dir).select(F.col("path").alias("file"), "language")
+    return rows.join(files, "file").withColumn("ref", F.concat("file", F.lit("::"), "name"))
+
+
+def code_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_type").distinct()
+    return p.select(F.lower("p_type").alias("name"), F.concat(F.lit("type "), "p_type").alias("label"))
+
+
+def code_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries: a part's name, and the document of its number in full; a file's type."""
+    p, d = table(spark, sf_dir, "part"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("full"))
+    short = p.select(F.col("p_partkey").alias("key"), F.concat("p_name", F.lit(" of "), "p_brand").alias("short"))
+    one = code_symbols(spark, sf_dir).select("ref", "key").join(short, "key").join(d, "key", "left").select(F.lit("symbol").alias("kind"), "ref", F.lit(1).alias("version"), "short", "full")
+    two = code_files(spark, sf_dir).select(F.lit("file").alias("kind"), F.col("path").alias("ref"), F.lit(2).alias("version"), F.concat(F.lit("file of "), "type").alias("short"), F.lit(None).cast("string").alias("full"))
+    return one.unionByName(two)
+
+
+def code_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.documents(code_files(spark, sf_dir), code_symbols(spark, sf_dir), code_clusters(spark, sf_dir), code_current(spark, sf_dir))
+
+
+def code_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The stored index of those documents, made once in a session."""
+    return search.build(code_documents(spark, sf_dir), projection.SEARCHED, keeper(spark, sf_dir))
+
+
+CODE = r"""code_files AS (
+  SELECT DISTINCT lower(p_type) || '/' || lower(replace(p_brand, '#', '_')) || '.py' AS path, p_type AS type,
+         (['python', 'ts', 'rust'])[split_part(p_brand, '#', 2)::INT % 3 + 1] AS language FROM part),
+code_symbols AS (
+  SELECT *, file || '::' || name AS ref FROM (
+    SELECT lower(p_type) || '/' || lower(replace(p_brand, '#', '_')) || '.py' AS file, replace(p_name, ' ', '_') || '_' || p_partkey AS name, replace(p_name, ' ', '_') AS short_name,
+           (['function', 'class', 'struct'])[p_size % 3 + 1] AS type, '(' || p_name || ', x)' AS args, p_size AS line, p_partkey AS key FROM part) JOIN (SELECT path AS file, language FROM code_files) USING (file)),
+code_docs AS (
+  SELECT 'symbol' AS node_kind, ref AS node_ref, language, type AS symbol_type, file AS file_path, name, replace(name, '_', ' ') AS name_tokens, args AS signature,
+         p_name || ' of ' || p_brand AS summary_short, text AS summary_full, 1 AS source_version
+  FROM code_symbols JOIN part ON key = p_partkey LEFT JOIN documents ON doc_id = key
+  UNION ALL SELECT 'file', path, language, NULL, path, split_part(path, '/', 2), translate(path, '/_', '  '), NULL, 'file of ' || type, NULL, 2 FROM code_files
+  UNION ALL SELECT DISTINCT 'cluster', lower(p_type), NULL, NULL, NULL, 'type ' || p_type, lower(p_type), NULL, NULL, NULL, NULL FROM part)"""
 
 
 def folders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,19 +81,50 @@ def g6(spark, sf):
     return G.adjacency(B.part_calls(spark, sf), known)[1]
 
 
-@register(
-    "g7_path_hops",
-    f"""WITH RECURSIVE {B.PART_CALLS}, g AS (SELECT DISTINCT caller, callee FROM part_calls),
-r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT callee, depth + 1 FROM r JOIN g ON g.caller = r.node WHERE depth < 6)
-SELECT 1::INT AS segment, 1::BIGINT AS source, 77::BIGINT AS target, (SELECT min(depth) FROM r WHERE node = 77)::INT AS hops, (SELECT min(depth) FROM r WHERE node = 77) IS NOT NULL AS found""",
-)
+def _hops(segment: int, source: int, target: int) -> str:
+    name = f"r{segment}"
+    return f"{name}(node, depth) AS (SELECT {source}::BIGINT, 0 UNION SELECT callee, depth + 1 FROM {name} JOIN g ON g.caller = {name}.node WHERE depth < 5)", f"SELECT {segment}::INT AS segment, {source}::BIGINT AS source, {target}::BIGINT AS target, (SELECT min(depth) FROM {name} WHERE node = {target})::INT AS hops"
+
+
+_STOPS = (1, 40, 90, 77, 1)
+_SEGMENTS = [_hops(k, a, b) for k, (a, b) in enumerate(zip(_STOPS, _STOPS[1:]), 1)]
+
+
+@register("g7_path_hops", f"WITH RECURSIVE {B.PART_CALLS}, g AS (SELECT DISTINCT caller, callee FROM part_calls), {', '.join(c for c, _ in _SEGMENTS)} {' UNION ALL '.join(q for _, q in _SEGMENTS)}")
 def g7(spark, sf):
-    return G.flow(G.followed(B.part_calls(spark, sf)), [1, 77], budget=1_000_000)
+    """Lengths of the paths between stops."""
+    path = G.flow(G.followed(B.part_calls(spark, sf)), list(_STOPS), budget=1_000_000)
+    ends = path.groupBy("segment").agg(F.min_by("node", "step").alias("source"), F.max_by("node", "step").alias("target"), F.max("hops").alias("hops"))
+    return ends
 
 
 @register("g9_flow")
 def g9(spark, sf):
-    return G.flow(G.followed(B.part_calls(spark, sf)), [1, 40, 90, 1], budget=1_000_000)
+    """Their nodes, with what each step is called."""
+    calls = B.part_calls(spark, sf)
+    labelled = calls.withColumn("via", F.when(F.col("provenance") == "inferred", F.lit("observer")))
+    return G.flow(G.followed(calls), [*_STOPS, None], budget=1_000_000, labelled=labelled)
+
+
+@register(
+    "g9_steps_are_edges",
+    f"""WITH RECURSIVE {B.PART_CALLS}, g AS (SELECT DISTINCT caller, callee FROM part_calls), {', '.join(c for c, _ in _SEGMENTS)}, h AS ({' UNION ALL '.join(q for _, q in _SEGMENTS)}) SELECT sum(hops)::BIGINT AS steps, sum(hops)::BIGINT AS edges FROM h""",
+)
+def g9_steps(spark, sf):
+    """All steps of the paths are edges, and there are as many as shortest paths have."""
+    path = G.flow(G.followed(B.part_calls(spark, sf)), list(_STOPS), budget=1_000_000).where("found")
+    step = path.alias("x").join(path.alias("y"), F.expr("x.segment = y.segment and y.step = x.step + 1")).select(F.col("x.node").alias("caller"), F.col("y.node").alias("callee"))
+    edges = G.followed(B.part_calls(spark, sf)).withColumn("known", F.lit(1))
+    return step.join(edges, ["caller", "callee"], "left").agg(F.count("*").alias("steps"), F.count("known").alias("edges"))
+
+
+@register(
+    "g8_named_symbols",
+    f"""WITH {B.CODE}, s AS (SELECT * FROM code_symbols) SELECT 'blue_bolt' AS name, ref AS node FROM s WHERE short_name = 'blue_bolt' UNION ALL SELECT 'economy/brand_1:red_widget', ref FROM s WHERE short_name = 'red_widget' AND contains(file, 'economy/brand_1') UNION ALL SELECT 'SMALL.hot_ring', ref FROM s WHERE short_name = 'hot_ring' AND contains(lower(file || '::' || name), 'small')""",
+)
+def g8_names(spark, sf):
+    symbols = B.code_symbols(spark, sf).select(F.col("ref").alias("node"), "file", F.col("name").alias("symbol"), "short_name")
+    return G.named_symbols(symbols, ["blue_bolt", "economy/brand_1:red_widget", "SMALL.hot_ring"]).select("name", "node")
 
 
 @register(
@@ -110,12 +141,23 @@ def g8(spark, sf):
     return G.choose_symbol(names, G.followed(B.part_calls(spark, sf)), _one(spark, 1))
 
 
-@register("g10_dependencies", bfs_sql("SELECT r_name AS caller, n_name AS callee FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT n_name, 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey", "SELECT r_name AS node FROM region WHERE r_regionkey = 0", 5, False, "unused AS (SELECT 1)"))
+_IMPORTS = """imports AS (SELECT r_name AS file, n_name AS imported FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT n_name, 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT 's' || s_suppkey, r_name FROM supplier, region WHERE s_suppkey % 9 = r_regionkey),
+indexed AS (SELECT r_name AS file FROM region UNION SELECT n_name FROM nation UNION SELECT 's' || s_suppkey FROM supplier WHERE s_suppkey % 4 > 0), seeds AS (SELECT file AS node FROM indexed WHERE file IN ('ASIA', 'NATION_3', 'nowhere')),
+up(node, depth) AS (SELECT node, 0 FROM seeds UNION SELECT file, depth + 1 FROM up JOIN imports ON imported = node WHERE depth < 2), down(node, depth) AS (SELECT node, 0 FROM seeds UNION SELECT imported, depth + 1 FROM down JOIN imports ON file = node WHERE depth < 2),
+l AS (SELECT 'up' AS direction, node, min(depth) AS depth FROM up GROUP BY node UNION ALL SELECT 'down', node, min(depth) FROM down GROUP BY node)"""
+
+
+@register("g10_dependencies", f"WITH RECURSIVE {_IMPORTS} SELECT direction, depth::INT AS depth, node AS file, CASE WHEN node IN (SELECT file FROM indexed) THEN node ELSE node || ' (not indexed)' END AS label FROM l WHERE depth > 0")
 def g10(spark, sf):
+    """Both directions from two files and one that is unknown; some of what is reached is not indexed."""
     n, r, s = (table(spark, sf, t) for t in ("nation", "region", "supplier"))
-    one = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("caller"), F.col("n_name").alias("callee"))
-    two = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("caller"), F.concat(F.lit("s"), "s_suppkey").alias("callee"))
-    return G.levels(one.unionByName(two).distinct(), r.where("r_regionkey = 0").select(F.col("r_name").alias("node")), 5)
+    key = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    one = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("file"), F.col("n_name").alias("imported"))
+    two = s.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("file"), key.alias("imported"))
+    three = s.join(F.broadcast(r), F.col("s_suppkey") % 9 == F.col("r_regionkey")).select(key.alias("file"), F.col("r_name").alias("imported"))
+    indexed = r.select(F.col("r_name").alias("file")).unionByName(n.select(F.col("n_name").alias("file"))).unionByName(s.where("s_suppkey % 4 > 0").select(key.alias("file")))
+    files = spark.range(1).select(F.explode(F.array(*map(F.lit, ("ASIA", "NATION_3", "nowhere")))).alias("file"))
+    return G.dependencies(one.unionByName(two).unionByName(three), indexed, files, "both", 2)
 
 
 @register(
@@ -127,15 +169,33 @@ def g11(spark, sf):
     return G.degrees(G.followed(B.part_calls(spark, sf)))
 
 
-@register(
-    "g12_affected",
-    f"""WITH {B.PART_CALLS}, e AS (SELECT DISTINCT caller, callee FROM part_calls)
-SELECT * FROM e WHERE caller IN (SELECT p_partkey FROM part WHERE p_size = 7) OR callee IN (SELECT p_partkey FROM part WHERE p_size = 9)""",
-)
+_CHANGE = f"""{B.PART_CALLS}, e AS (SELECT row_number() OVER (ORDER BY caller, c.callee, provenance, line) AS edge, 'm' || (caller % 40) AS file, 'n' || (c.callee % 90) AS callee, CASE WHEN c.callee % 3 > 0 THEN 'm' || (c.callee % 40) END AS callee_file, provenance FROM part_calls c),
+hosts AS (SELECT DISTINCT file FROM (SELECT 'm' || n AS file, CASE n % 4 WHEN 0 THEN 'os' WHEN 1 THEN 'a.b' WHEN 2 THEN 'b' ELSE 'c' END AS module FROM range(8) t(n)) WHERE module IN ('a.b', 'b')),
+hit AS (SELECT * FROM e WHERE provenance <> 'inferred' AND (file IN ('m20', 'm21') OR file IN (SELECT file FROM hosts) OR callee IN ('n5', 'n50')))"""
+
+
+def _change(spark, sf):
+    from pyspark.sql import Window
+
+    calls = B.part_calls(spark, sf)
+    edge = F.row_number().over(Window.orderBy("caller", "callee", "provenance", "line"))
+    name = lambda c, n: F.concat(F.lit(n), c.cast("string"))
+    edges = calls.select(edge.alias("edge"), name(F.col("caller") % 40, "m").alias("file"), name(F.col("callee") % 90, "n").alias("callee"), F.when(F.col("callee") % 3 > 0, name(F.col("callee") % 40, "m")).alias("callee_file"), "provenance")
+    k = F.col("id") % 4
+    bindings = spark.range(8).select(name(F.col("id"), "m").alias("file"), F.when(k == 0, "os").when(k == 1, "a.b").when(k == 2, "b").otherwise("c").alias("module"))
+    one = lambda c, *values: spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(c))
+    hosts = G.import_hosts(bindings, one("path", "src/a/b.py", "b/__init__.py", "os.py"))
+    return G.affected(edges, one("file", "m20", "m21"), one("name", "n5", "n50"), hosts)
+
+
+@register("g12_affected", f"WITH {_CHANGE} SELECT file, callee, callee_file, provenance, count(*) AS n FROM hit GROUP BY ALL")
 def g12(spark, sf):
-    part = table(spark, sf, "part")
-    pick = lambda size: part.where(F.col("p_size") == size).select(F.col("p_partkey").alias("node"))
-    return G.affected(G.followed(B.part_calls(spark, sf)), pick(7), pick(9))
+    return _change(spark, sf)[0].groupBy("file", "callee", "callee_file", "provenance").agg(F.count("*").alias("n"))
+
+
+@register("g12_affected_files", f"WITH {_CHANGE} SELECT file FROM hit UNION SELECT callee_file FROM hit WHERE callee_file IS NOT NULL UNION SELECT 'm20' UNION SELECT 'm21'")
+def g12_files(spark, sf):
+    return _change(spark, sf)[1]
 
 
 @register(

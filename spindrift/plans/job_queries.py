@@ -24,9 +24,19 @@ def k1(spark, sf):
     return J.reduce_log(_log(spark, sf))
 
 
-@register("k4_queue_invariants")
+@register(
+    "k4_queue_invariants",
+    """SELECT o_custkey AS project, o_orderpriority AS dedupe, count(*) FILTER (o_orderstatus = 'O') AS pending, count(*) FILTER (o_orderstatus = 'P') AS active FROM orders GROUP BY ALL HAVING count(*) FILTER (o_orderstatus = 'O') > 1 OR count(*) FILTER (o_orderstatus = 'P') > 1""",
+)
 def k4(spark, sf):
-    return J.violations(J.reduce_log(_log(spark, sf)))
+    """Keys of a job table that break the invariants."""
+    return J.violations(_jobs(spark, sf))
+
+
+@register("k4_reduced_log_is_sound", "SELECT 0::BIGINT AS broken")
+def k4_log(spark, sf):
+    """No key of a reduced log breaks them."""
+    return J.violations(J.reduce_log(_log(spark, sf))).agg(F.count("*").alias("broken"))
 
 
 _JOBS = "jobs AS (SELECT o_custkey AS project, o_orderkey AS job, o_orderpriority AS dedupe, o_shippriority AS priority, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'pending' ELSE 'running' END AS status FROM (SELECT *, (o_orderkey % 5)::INT AS o_shippriority FROM orders))"
@@ -48,9 +58,20 @@ def k8(spark, sf):
     return J.listing(_jobs(spark, sf), status="pending", limit=500).select("job", "project")
 
 
-@register("k3_moves", "SELECT count(*) AS legal FROM range(9)")
+_STATUS_LIST = ", ".join(f"('{x}')" for x in ("pending", "running", "cancel_requested", "succeeded", "failed", "cancelled", "superseded"))
+
+
+@register(
+    "k3_moves",
+    f"""SELECT a.s AS "from", b.s AS "to", (a.s = 'pending' AND b.s IN ('running', 'cancelled', 'superseded')) OR (a.s = 'running' AND b.s IN ('pending', 'succeeded', 'failed', 'cancel_requested', 'superseded')) OR (a.s = 'cancel_requested' AND b.s = 'cancelled') AS legal
+FROM (VALUES {_STATUS_LIST}) a(s), (VALUES {_STATUS_LIST}) b(s)""",
+)
 def k3(spark, sf):
-    return spark.range(1).select(F.explode(F.array(*(F.lit(f"{a}>{b}") for a, b in J.MOVES))).alias("m")).agg(F.count("*").alias("legal"))
+    """Every pair of statuses, and whether the move is legal."""
+    every = lambda name: F.explode(F.array(*map(F.lit, J.STATUSES))).alias(name)
+    pairs = spark.range(1).select(every("from")).select("from", every("to"))
+    legal = F.array(*(F.lit(f"{a}>{b}") for a, b in J.MOVES))
+    return pairs.withColumn("legal", F.array_contains(legal, F.concat("from", F.lit(">"), "to")))
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
+from spindrift.operators import projection as P
 from spindrift.operators import search as S
 from spindrift.plans import bindings as B
 from spindrift.plans.catalog import register
@@ -13,124 +14,188 @@ from spindrift.plans.runtime import table
 
 
 def _tokens(column: str) -> str:
-    return rf"regexp_extract_all(translate(lower({column}), '{S._MARKED}', '{S._PLAIN}'), '[\p{{L}}\p{{N}}]+')"
+    return rf"regexp_extract_all(translate(lower(coalesce({column}, '')), '{S._MARKED}', '{S._PLAIN}'), '[\p{{L}}\p{{N}}]+')"
 
 
-_INDEX = rf"""post AS (
-  SELECT doc, col, token, count(*) AS n FROM (
-    SELECT doc_id AS doc, 'short' AS col, unnest({_tokens("source")}) AS token FROM documents
-    UNION ALL SELECT doc_id, 'full', unnest({_tokens("text")}) FROM documents) GROUP BY ALL),
-len AS (SELECT doc, sum(n) AS length FROM post GROUP BY doc), tot AS (SELECT sum(length) AS a FROM len), nd AS (SELECT count(*) AS d FROM documents)"""
+_POSTINGS = " UNION ALL ".join(f"SELECT node_kind AS kind, node_ref AS ref, '{c}' AS col, {_tokens(c)} AS ts FROM code_docs" for c in P.SEARCHED)
+_INDEX = f"""{B.CODE}, post AS (SELECT kind, ref, col, unnest(ts) AS token, generate_subscripts(ts, 1) AS pos FROM ({_POSTINGS})),
+len AS (SELECT node_kind AS kind, node_ref AS ref, coalesce(length, 0) AS length FROM code_docs LEFT JOIN (SELECT kind, ref, count(*) AS length FROM post GROUP BY ALL) ON kind = node_kind AND ref = node_ref),
+tot AS (SELECT sum(length) AS a, count(*) AS d FROM len)"""
 
 
-def _bm25_sql(terms: list[str], need_all: bool, weights: dict[str, float]) -> str:
+def _weigh(weights: dict[str, float]) -> str:
+    return "CASE col " + " ".join(f"WHEN '{c}' THEN {w}::DOUBLE" for c, w in weights.items()) + " END"
+
+
+def _score(hits: str, name: str, group: str = "") -> str:
+    """CTEs ``name`` of scores over hits ``(kind, ref, q, f)``; with ``group`` each term is a query of its own."""
+    idf = "CASE WHEN ln((d - nq + 0.5) / (nq + 0.5)) <= 0 THEN 1e-6 ELSE ln((d - nq + 0.5) / (nq + 0.5)) END"
+    return f"""{name}_n AS (SELECT q, count(*) AS nq FROM {hits} GROUP BY q),
+{name} AS (SELECT kind, ref{group}, -sum({idf} * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * length / (a / d)))) AS score, count(*) AS matched FROM {hits} JOIN {name}_n USING (q) JOIN len USING (kind, ref), tot GROUP BY kind, ref{group})"""
+
+
+def _hits(terms: list[str], weights: dict[str, float], name: str) -> str:
     values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(terms))
-    weigh = "CASE col " + " ".join(f"WHEN '{c}' THEN {w}::DOUBLE" for c, w in weights.items()) + " END"
-    return f"""{_INDEX}, q(q, term) AS (VALUES {values}),
-h AS (SELECT doc, q, sum({weigh} * n) AS f FROM post JOIN q ON starts_with(token, term) WHERE col IN ({", ".join(repr(c) for c in weights)}) GROUP BY ALL),
-fr AS (SELECT q, count(*) AS nq FROM h GROUP BY q),
-s AS (SELECT doc, -sum(CASE WHEN ln((d - nq + 0.5) / (nq + 0.5)) <= 0 THEN 1e-6 ELSE ln((d - nq + 0.5) / (nq + 0.5)) END * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * length / (a / d)))) AS score, count(*) AS matched
-  FROM h JOIN fr USING (q) JOIN len USING (doc), tot, nd GROUP BY doc{f" HAVING count(*) = {len(terms)}" if need_all else ""})"""
+    return f"""{name}_q(q, term) AS (VALUES {values}),
+{name} AS (SELECT kind, ref, q, sum({_weigh(weights)}) AS f FROM post JOIN {name}_q ON starts_with(token, term) WHERE col IN ({", ".join(repr(c) for c in weights)}) GROUP BY ALL)"""
 
 
 def _index(spark, sf):
-    docs = B.text_docs(spark, sf)
-    return S.postings(docs, ["short", "full"]), docs.agg(F.count("*").alias("docs"))
+    return B.code_index(spark, sf)
 
 
-@register("x13_bm25_all", f"WITH {_bm25_sql(['stup', 'pathet'], True, {'full': 1.0, 'short': 5.0})} SELECT doc, round(score, 6) AS score, matched FROM s")
+@register("x13_bm25_all", f"WITH {_INDEX}, {_hits(['stup', 'pathet'], S.SYMBOL_WEIGHTS, 'h')}, {_score('h', 's')} SELECT kind, ref, round(score, 6) AS score, matched FROM s WHERE matched = 2")
 def x13(spark, sf):
-    index, n = _index(spark, sf)
-    return S.bm25(index, n, ["stup", "pathet"], {"full": 1.0, "short": 5.0}, require_all=True).select("doc", F.round("score", 6).alias("score"), "matched")
+    return S.bm25(_index(spark, sf), ["stup", "pathet"], S.SYMBOL_WEIGHTS, "all").select("kind", "ref", F.round("score", 6).alias("score"), "matched")
 
 
-@register("r3_bm25_or", f"WITH {_bm25_sql(['idio', 'src1', 'thing'], False, {'full': 1.0, 'short': 5.0})} SELECT doc, round(score, 6) AS score, matched FROM s ORDER BY score, doc LIMIT 50")
+@register("r3_bm25_or", f"WITH {_INDEX}, {_hits(['idio', 'brand', 'thing'], S.SYMBOL_WEIGHTS, 'h')}, {_score('h', 's')} SELECT kind, ref, round(score, 6) AS score, matched FROM s ORDER BY s.score, kind, ref LIMIT 50")
 def r3(spark, sf):
-    index, n = _index(spark, sf)
-    return S.bm25(index, n, ["idio", "src1", "thing"], {"full": 1.0, "short": 5.0}).orderBy("score", "doc").limit(50).select("doc", F.round("score", 6).alias("score"), "matched")
+    return S.bm25(_index(spark, sf), ["idio", "brand", "thing"], S.SYMBOL_WEIGHTS).orderBy("score", "kind", "ref").limit(50).select("kind", "ref", F.round("score", 6).alias("score"), "matched")
+
+
+@register(
+    "r3_bm25_phrase",
+    f"""WITH {_INDEX}, at_ AS (SELECT a.kind, a.ref, a.col FROM post a JOIN post b USING (kind, ref, col) WHERE a.token = 'blue' AND b.token = 'bolt' AND b.pos = a.pos + 1 AND col IN ('summary_short', 'summary_full')),
+h AS (SELECT kind, ref, 0 AS q, sum({_weigh(S.SYMBOL_WEIGHTS)}) AS f FROM at_ GROUP BY kind, ref), {_score('h', 's')} SELECT kind, ref, round(score, 6) AS score FROM s""",
+)
+def r3_phrase(spark, sf):
+    return S.bm25(_index(spark, sf), ["blue", "bolt"], S.SYMBOL_WEIGHTS, "phrase").select("kind", "ref", F.round("score", 6).alias("score"))
 
 
-@register("r4_bm25_any")
+_ANY = f"""{_INDEX}, {_hits(['idiot', 'moron', 'blue'], S.SYMBOL_WEIGHTS, 'h')}, {_score('h', 't', ', q')},
+k AS (SELECT ref, q, score, row_number() OVER (PARTITION BY q ORDER BY score, lower(name), name, file, coalesce(line, 0)) AS r FROM t JOIN code_symbols USING (ref) WHERE kind = 'symbol')"""
+
+
+@register("r4_bm25_any", f"WITH {_ANY} SELECT ref, count(*) AS coverage, round(sum(score), 6) AS score FROM k WHERE r <= 50 GROUP BY ref")
 def r4(spark, sf):
-    index, n = _index(spark, sf)
-    return S.bm25_any(index, n, ["idiot", "moron", "clown"], {"full": 1.0}, 50)
+    """Word by word, each cut at five times the limit of ten."""
+    found = S.by_text(B.code_symbols(spark, sf), _index(spark, sf), S.make_query("idiot moron blue", match="any"))
+    return found.select("ref", "coverage", F.round("score", 6).alias("score"))
+
+
+@register("t2_truncation", f"WITH {_ANY}, n AS (SELECT q, count(*) AS c FROM k GROUP BY q) SELECT term, least(coalesce(c, 0), 50) AS candidates, coalesce(c, 0) > 50 AS truncated FROM h_q LEFT JOIN n USING (q)")
+def t2(spark, sf):
+    return S.truncation(B.code_symbols(spark, sf), _index(spark, sf), S.make_query("idiot moron blue", match="any"))
 
 
-@register("r10_postings", f'WITH {_INDEX} SELECT col AS "column", token, sum(n)::BIGINT AS n, count(*) AS docs FROM post GROUP BY ALL')
-def r10(spark, sf):
-    index, _ = _index(spark, sf)
-    return index.groupBy("column", "token").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+@register("r10_postings", f'WITH {_INDEX} SELECT col AS "column", token, count(*) AS n, count(DISTINCT kind || ref) AS docs FROM post GROUP BY ALL')
+def r10_postings(spark, sf):
+    rows = _index(spark, sf).postings
+    return rows.groupBy("column", "token").agg(F.count("*").alias("n"), F.count_distinct("kind", "ref").alias("docs"))
 
 
 @register(
-    "r1_exact",
-    "SELECT p_partkey AS doc, p_name AS name FROM part WHERE lower(p_name) = lower('Red Widget') OR lower(p_brand) = lower('Red Widget')",
+    "r10_projection",
+    f"""WITH {B.CODE} SELECT node_kind, node_ref, name, name_tokens, source_version, sha256(to_json({{'file_path': file_path, 'language': language, 'name': name, 'name_tokens': name_tokens, 'node_kind': node_kind, 'node_ref': node_ref, 'signature': signature, 'summary_full': summary_full, 'summary_short': summary_short, 'symbol_type': symbol_type}})::VARCHAR) AS content_hash FROM code_docs""",
 )
+def r10_projection(spark, sf):
+    return B.code_documents(spark, sf).select("node_kind", "node_ref", "name", "name_tokens", "source_version", "content_hash")
+
+
+@register("r11_projection_check", f"WITH {B.CODE} SELECT node_kind AS kind, count(*) AS expected, count(*) AS found, 0::BIGINT AS duplicates, true AS sound FROM code_docs GROUP BY 1")
+def r11(spark, sf):
+    return P.check(B.code_documents(spark, sf), B.code_files(spark, sf), B.code_symbols(spark, sf), B.code_clusters(spark, sf))
+
+
+@register("r1_exact", f"WITH {B.CODE} SELECT ref, name FROM code_symbols WHERE lower(name) = 'red_widget' OR lower(short_name) = 'red_widget'")
 def r1(spark, sf):
-    return S.exact(B.part_symbols(spark, sf), "Red Widget").select("doc", "name")
+    return S.exact(B.code_symbols(spark, sf), S.make_query(" Red_Widget ")).select("ref", "name")
+
+
+@register("f5_search_filters", f"WITH {B.CODE} SELECT ref FROM code_symbols WHERE lower(language) IN ('tsparser', 'typescript', 'ts', 'tsx') AND lower(type) = 'class' AND contains(lower(replace(trim(file), '\\', '/')), 'economy/')")
+def f5(spark, sf):
+    return S.fitting(B.code_symbols(spark, sf), S.make_query("x", language="TypeScript", symbol_type="class", path_hint="ECONOMY\\")).select("ref")
+
+
+_WORDS = r"regexp_extract_all(lower(replace(name, '_', ' ')), '[\p{L}\p{N}]+')"
 
 
 @register(
     "r2_prefix",
-    r"""WITH w AS (SELECT p_partkey AS doc, p_name AS name, regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+') AS ws FROM part)
-SELECT doc, name FROM w WHERE len(list_filter(ws, lambda x: starts_with(x, 're'))) > 0 AND len(list_filter(ws, lambda x: starts_with(x, 'wid'))) > 0""",
+    f"""WITH {B.CODE}, w AS (SELECT ref, name, {_WORDS} AS ws FROM code_symbols),
+n AS (SELECT *, len(list_filter(ws, lambda x: starts_with(x, 'bl'))) > 0 AS a1, len(list_filter(ws, lambda x: starts_with(x, 'bol'))) > 0 AS a2, array_to_string(ws, ' ') AS sp FROM w)
+SELECT 'all' AS mode, ref, 4 AS category FROM n WHERE a1 AND a2 UNION ALL SELECT 'any', ref, 4 FROM n WHERE a1 OR a2
+UNION ALL SELECT 'phrase', ref, CASE WHEN starts_with(sp, 'bolt') THEN 3 ELSE 4 END FROM n WHERE contains(' ' || sp || ' ', ' bolt ')""",
 )
 def r2(spark, sf):
-    return S.prefix(B.part_symbols(spark, sf), "re wid", ["re", "wid"]).select("doc", "name")
+    symbols = B.code_symbols(spark, sf)
+    modes = (("all", "bl_bol"), ("any", "bl_bol"), ("phrase", "bolt"))
+    parts = [S.prefix(symbols, S.make_query(text, match=mode)).select(F.lit(mode).alias("mode"), "ref", "category") for mode, text in modes]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register("r5_fuzzy")
 def r5(spark, sf):
-    return S.fuzzy(B.part_symbols(spark, sf), "blubolt").select("doc", "name", F.round("ratio", 6).alias("ratio"))
+    return S.fuzzy(B.code_symbols(spark, sf), S.make_query("blubolt_77")).select("ref", "name", F.round("ratio", 6).alias("ratio"))
+
+
+def _details(spark, sf):
+    return B.code_documents(spark, sf).where("node_kind = 'symbol'").select(F.col("node_ref").alias("ref"), "signature", F.col("summary_short").alias("summary"))
+
 
+_ORDER = "lower(name), name, file, coalesce(line, 0)"
 
-@register("r7_search")
+
+@register(
+    "r7_search",
+    f"""WITH {_INDEX}, {_hits(['blue', 'bolt'], S.SYMBOL_WEIGHTS, 'h')}, {_score('h', 's')}, w AS (SELECT *, {_WORDS} AS ws FROM code_symbols),
+p AS (SELECT ref, name, file, line, 1 AS priority, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM w WHERE len(list_filter(ws, lambda x: starts_with(x, 'blue'))) > 0 AND len(list_filter(ws, lambda x: starts_with(x, 'bolt'))) > 0),
+b AS (SELECT ref, name, file, line, 2 AS priority, row_number() OVER (ORDER BY score, {_ORDER}) AS rank FROM s JOIN code_symbols USING (ref) WHERE kind = 'symbol' AND matched = 2),
+c AS (SELECT * FROM p WHERE rank <= 20 UNION ALL SELECT * FROM b WHERE rank <= 20),
+m AS (SELECT ref, name, file, line, min(priority) AS priority, arg_min(rank, priority) AS rank, string_agg(CASE priority WHEN 1 THEN 'prefix#' ELSE 'bm25#' END || rank, ', ' ORDER BY priority) AS sources FROM c GROUP BY ALL)
+n AS (SELECT *, row_number() OVER (ORDER BY priority, rank, {_ORDER}) AS position FROM m)
+SELECT position::INT AS position, ref, CASE priority WHEN 1 THEN 'prefix' ELSE 'bm25' END AS channel, rank::INT AS rank, sources, signature, summary_short AS summary
+FROM n JOIN code_docs ON node_ref = ref AND node_kind = 'symbol' WHERE position <= 20""",
+)
 def r7(spark, sf):
-    index, n = _index(spark, sf)
-    return S.search(B.part_symbols(spark, sf), index, n, "blue bolt", limit=20)
+    found = S.search(B.code_symbols(spark, sf), _index(spark, sf), _details(spark, sf), "blue bolt", limit=20)
+    return found.select("position", "ref", "channel", "rank", "sources", "signature", "summary")
 
 
 @register("q8_search_fuzzy")
 def q8(spark, sf):
-    index, n = _index(spark, sf)
-    return S.search(B.part_symbols(spark, sf), index, n, "blxbolt", limit=20)
+    found = S.search(B.code_symbols(spark, sf), _index(spark, sf), _details(spark, sf), "blxe_bxlt_7", limit=20, match="phrase")
+    return found.select("position", "ref", "channel", "rank", "sources")
 
 
-@register(
-    "r8_navigate",
-    f"WITH {_bm25_sql(['idiot', 'src3'], False, {'full': 1.0, 'short': 1.0})} SELECT doc, round(score, 6) AS score FROM s ORDER BY s.score, doc LIMIT 10",
-)
+@register("r8_nodes", f"WITH {_INDEX}, {_hits(['economy', 'brand'], S.NODE_WEIGHTS, 'h')}, {_score('h', 's')} SELECT kind, ref, rank::INT AS rank FROM (SELECT kind, ref, row_number() OVER (ORDER BY score, ref) AS rank FROM s WHERE kind = 'file') WHERE rank <= 10")
+def r8_nodes(spark, sf):
+    return S.nodes(_index(spark, sf), S.make_query("economy brand", match="any"), "file", 10)
+
+
+@register("r8_navigate")
 def r8(spark, sf):
-    index, n = _index(spark, sf)
-    return S.bm25(index, n, ["idiot", "src3"], {"full": 1.0, "short": 1.0}).orderBy("score", "doc").limit(10).select("doc", F.round("score", 6).alias("score"))
+    return S.navigate(B.code_symbols(spark, sf), _index(spark, sf), "economy blue", top=25)
 
 
 @register(
     "r6_merge",
-    """WITH c AS (SELECT p_partkey AS doc, 'exact' AS channel, 0 AS priority, row_number() OVER (ORDER BY p_partkey) AS rank FROM part WHERE p_size = 3
-UNION ALL SELECT p_partkey, 'bm25', 2, row_number() OVER (ORDER BY p_partkey DESC) FROM part WHERE p_size IN (3, 4)),
-b AS (SELECT doc, min(priority) AS priority, string_agg(channel, ',' ORDER BY priority) AS sources, arg_min(rank, priority) AS rank FROM c GROUP BY doc)
-SELECT row_number() OVER (ORDER BY priority, rank, doc)::INT AS position, doc, CASE priority WHEN 0 THEN 'exact' ELSE 'bm25' END AS channel, rank::INT AS rank, sources FROM b ORDER BY priority, rank, doc LIMIT 30""",
+    """WITH c AS (SELECT p_partkey AS ref, p_name AS name, p_brand AS file, p_size AS line, 0 AS priority, row_number() OVER (ORDER BY p_partkey) AS rank FROM part WHERE p_type = 'SMALL'
+UNION ALL SELECT p_partkey, p_name, p_brand, p_size, 2, row_number() OVER (ORDER BY p_partkey DESC) FROM part),
+b AS (SELECT ref, name, file, line, min(priority) AS priority, string_agg(CASE priority WHEN 0 THEN 'exact#' ELSE 'bm25#' END || rank, ', ' ORDER BY priority) AS sources, arg_min(rank, priority) AS rank FROM c GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY priority, rank, lower(name), name, file, line)::INT AS position, ref, CASE priority WHEN 0 THEN 'exact' ELSE 'bm25' END AS channel, rank::INT AS rank, sources FROM b ORDER BY position LIMIT 400""",
 )
 def r6(spark, sf):
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("doc"), "p_size")
-    one, two = S.ranked(part.where("p_size = 3"), "exact", "doc"), S.ranked(part.where("p_size in (3, 4)"), "bm25", F.desc("doc"))
-    return S.merge(one.unionByName(two), 30)
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("ref"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_size").alias("line"), F.col("p_type").alias("type"))
+    every = part.count()
+    one, two = S._ranked(part.where("type = 'SMALL'"), "exact", every, F.col("ref")), S._ranked(part, "bm25", every, F.desc("ref"))
+    return S.merge(one.unionByName(two), 400).select("position", "ref", "channel", "rank", "sources")
 
 
 @register(
     "x1_tokenize_symbol",
-    r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p_type || '_' || p_brand || 'HTTPServer' || p_size, '_|::', ' ', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), ' +', ' ', 'g')) AS tokens FROM part""",
+    r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p_type || '_' || p_brand || 'HTTPServer' || p_size, '_|::', ' ', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), ' +', ' ', 'g')) AS tokens FROM part""",
 )
 def x1(spark, sf):
     p = table(spark, sf, "part")
     return p.select("p_partkey", X.tokenize_symbol(F.concat("p_type", F.lit("_"), "p_brand", F.lit("HTTPServer"), F.col("p_size").cast("string"))).alias("tokens"))
 
 
-@register("x2_search_words", r"SELECT conv_id, turn, role, len(regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*')) AS words FROM conversations")
+@register("x2_search_words", r"SELECT conv_id, turn, role, len(regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(text, '_|::', ' ', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*')) AS words FROM conversations")
 def x2(spark, sf):
     c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", "role", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}][\p{L}\p{N}\p{M}]*)"), F.lit(1))).cast("long").alias("words"))
+    return c.select("conv_id", "turn", "role", F.size(X.search_words(F.col("text"))).cast("long").alias("words"))
 
 
 @register("x4_normalize_path", r"SELECT page_id, lower(replace(trim(url), '\', '/')) AS path FROM pages")

@@ -21,11 +21,11 @@ def w1(spark, sf):
 
 @register(
     "w2_next_version",
-    f"""WITH {B.USER_VERSIONS}, n AS (SELECT 'user' AS kind, o_custkey AS ref, o_orderkey FROM orders WHERE o_orderkey % 50 = 0)
+    f"""WITH {B.USER_VERSIONS}, n AS (SELECT 'user' AS kind, o_custkey AS ref, o_orderkey FROM orders)
 SELECT n.kind, n.ref, o_orderkey, coalesce((SELECT max(version) FROM user_versions v WHERE v.ref = n.ref), 0) + row_number() OVER (PARTITION BY n.ref ORDER BY o_orderkey) AS version FROM n""",
 )
 def w2(spark, sf):
-    new = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.lit("user").alias("kind"), F.col("o_custkey").alias("ref"), "o_orderkey")
+    new = table(spark, sf, "orders").select(F.lit("user").alias("kind"), F.col("o_custkey").alias("ref"), "o_orderkey")
     return V.next_version(B.user_versions(spark, sf), new, "o_orderkey").select("kind", "ref", "o_orderkey", "version")
 
 
@@ -47,8 +47,8 @@ def k12(spark, sf):
 
 @register(
     "a17_change_counters",
-    f"""WITH {B.USER_VERSIONS}, {B.CURRENT}, p AS (SELECT ref, summary, lag(summary) OVER (PARTITION BY ref ORDER BY version) AS before FROM user_versions)
-SELECT ref % 10 AS parent, count(*) AS changes FROM p WHERE summary IS DISTINCT FROM before AND ref % 10 IN (SELECT ref FROM current_versions WHERE version IS NOT NULL) GROUP BY 1""",
+    f"""WITH {B.USER_VERSIONS}, {B.CURRENT}, p AS (SELECT ref, status, summary, lag(summary) OVER (PARTITION BY ref ORDER BY version) AS before FROM user_versions)
+SELECT ref % 10 AS parent, count(*) AS changes FROM p WHERE status IN ('ok', 'oversized_warn') AND NOT coalesce(summary = before, false) AND ref % 10 IN (SELECT ref FROM current_versions WHERE version IS NOT NULL) GROUP BY 1""",
 )
 def a17(spark, sf):
     v = B.user_versions(spark, sf)
@@ -101,14 +101,30 @@ def f12(spark, sf):
 
 @register(
     "x16_transitions",
-    "SELECT status, event, CASE WHEN status = 'gone' THEN 'corrupt' WHEN status IN ('ok', 'oversized_warn') AND event = 'source_changed' THEN 'stale' WHEN status = 'pending' AND event = 'success' THEN 'ok' WHEN status = 'pending' AND event = 'failure' THEN 'corrupt' WHEN status IN ('stale', 'corrupt') AND event = 'regenerate' THEN 'pending' ELSE status END AS next_status FROM (VALUES ('ok'), ('stale'), ('pending'), ('oversized_warn'), ('gone'), ('corrupt')) a(status), (VALUES ('source_changed'), ('success'), ('failure'), ('regenerate'), ('other')) b(event)",
+    """SELECT a.status, b.event, CASE WHEN a.status = 'gone' THEN 'corrupt' ELSE coalesce(t.next_status, a.status) END AS next_status
+FROM (VALUES ('ok'), ('stale'), ('pending'), ('oversized_warn'), ('oversized_hard'), ('corrupt'), ('gone')) a(status) CROSS JOIN (VALUES ('llm_success'), ('llm_failure'), ('parse_failure'), ('mark_stale'), ('rewrite_success'), ('other')) b(event)
+LEFT JOIN (VALUES ('pending', 'llm_success', 'ok'), ('pending', 'llm_failure', 'pending'), ('pending', 'parse_failure', 'corrupt'), ('ok', 'mark_stale', 'stale'), ('ok', 'parse_failure', 'corrupt'), ('stale', 'rewrite_success', 'ok'), ('stale', 'llm_failure', 'pending'), ('oversized_warn', 'mark_stale', 'stale'), ('oversized_hard', 'mark_stale', 'stale')) t(status, event, next_status) ON t.status = a.status AND t.event = b.event""",
 )
 def x16(spark, sf):
-    one = spark.range(1).select(F.explode(F.array(*map(F.lit, ("ok", "stale", "pending", "oversized_warn", "gone", "corrupt")))).alias("status"))
-    both = one.select("status", F.explode(F.array(*map(F.lit, ("source_changed", "success", "failure", "regenerate", "other")))).alias("event"))
+    """Every status, an unknown one too, with every event and an undefined one."""
+    one = spark.range(1).select(F.explode(F.array(*map(F.lit, (*V.STATUSES, "gone")))).alias("status"))
+    both = one.select("status", F.explode(F.array(*map(F.lit, (*sorted({e for _, e in V.TRANSITIONS}), "other")))).alias("event"))
     return both.withColumn("next_status", V.transition(F.col("status"), F.col("event")))
 
 
+@register(
+    "k13_generation",
+    """SELECT conv_id, turn, role, CASE WHEN turn % 5 = 0 THEN 'pending' WHEN turn % 5 = 1 THEN 'corrupt' WHEN length(text) <= 240 THEN 'ok' WHEN length(text) <= 300 THEN 'oversized_warn' WHEN turn % 5 = 2 THEN 'ok' WHEN turn % 5 = 3 THEN 'corrupt' ELSE 'oversized_hard' END AS status FROM conversations""",
+)
+def k13(spark, sf):
+    """Answers that fail, aren't JSON, or hold a turn's text; the next answer is short, has no text, or isn't JSON."""
+    c, k = table(spark, sf, "conversations"), F.col("turn") % 5
+    whole = F.to_json(F.struct(F.lit("s").alias("short"), F.col("text").alias("full")))
+    first = F.when(k == 0, "Error: busy").when(k == 1, "oops").otherwise(whole)
+    second = F.when(k == 2, '{"short":"s"}').when(k == 3, '{"full":"s"}').otherwise("oops")
+    return c.select("conv_id", "turn", "role", V.generated(F.array(first, second), 200)["status"].alias("status"))
+
+
 @register(
     "x15_length_verdict",
     "SELECT conv_id, turn, role, CASE WHEN length(text) <= 240 THEN 'ok' WHEN length(text) <= 300 THEN 'oversized_warn' ELSE 'oversized_hard' END AS verdict FROM conversations",

@@ -1,7 +1,7 @@
 """A deduplicating job queue as a keyed state machine, over a batch log or a stream.
 
-One pure function, ``step``, applies an event to the jobs of a project. The batch reducer runs it over an ordered log, the
-stream keeps the jobs as state; both give the same jobs.
+``Queue.step`` applies an event to the jobs of a project. The batch reducer runs it over an ordered log, the stream keeps the
+jobs that are alive as state; both give the same jobs.
 """
 
 from __future__ import annotations
@@ -13,52 +13,86 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+STATUSES = ("pending", "running", "cancel_requested", "succeeded", "failed", "cancelled", "superseded")
 #: Legal moves between statuses (fixed values).
 MOVES = (
-    ("pending", "running"), ("pending", "cancelled"), ("pending", "superseded"), ("running", "succeeded"), ("running", "failed"),
-    ("running", "cancel_requested"), ("running", "superseded"), ("cancel_requested", "cancelled"), ("cancel_requested", "failed"),
-)
+    ("pending", "running"),
+    ("pending", "cancelled"),
+    ("pending", "superseded"),
+    ("running", "pending"),
+    ("running", "succeeded"),
+    ("running", "failed"),
+    ("running", "cancel_requested"),
+    ("running", "superseded"),
+    ("cancel_requested", "cancelled"),
+)
 ACTIVE = ("running", "cancel_requested")
 TERMINAL = ("succeeded", "failed", "cancelled", "superseded")
 EVENTS = "project long, seq long, kind string, job long, dedupe string, full_scan boolean, priority int, status string"
 JOBS = "project long, job long, dedupe string, full_scan boolean, priority int, status string, superseded_by long"
 
 
-def step(jobs: dict[int, dict], event: dict) -> None:
-    """Apply one event to a project's jobs.
-
-    ``submit``: a pending job of the same key takes the greater priority; a pending full scan takes up an incremental job,
-    which is recorded as superseded; a full scan is idempotent while one is pending and supersedes pending incremental jobs.
-    ``move``: legal moves only; late events after a terminal status are dropped. ``recover``: running jobs are superseded by
-    a pending successor of their key or become pending again; requested cancellations are done.
-    """
-    pending = [j for j in jobs.values() if j["status"] == "pending"]
-    if event["kind"] == "submit":
+class Queue:
+    """A project's jobs, with those that wait filed by their key, so that an event touches only the jobs it is about."""
+
+    def __init__(self, jobs: dict[int, dict] | None = None) -> None:
+        self.jobs = jobs or {}
+        self.waiting: dict[str, int] = {}
+        self.scan: int | None = None
+        for job in self.jobs.values():
+            self._file(job)
+
+    def _file(self, job: dict) -> None:
+        alive = job["status"] == "pending" or job["status"] in ACTIVE
+        if job["full_scan"]:
+            self.scan = job["job"] if alive else None if self.scan == job["job"] else self.scan
+        elif job["status"] == "pending":
+            self.waiting.setdefault(job["dedupe"], job["job"])
+        elif self.waiting.get(job["dedupe"]) == job["job"]:
+            del self.waiting[job["dedupe"]]
+
+    def _set(self, job: dict, **values) -> None:
+        job |= values
+        self._file(job)
+
+    def step(self, event: dict) -> None:
+        """Apply one event.
+
+        ``submit``: a waiting job of the same key takes the greater priority; a waiting full scan takes up an incremental
+        job, which is recorded as superseded; a full scan is idempotent while one waits, runs or is asked to cancel, and
+        supersedes waiting incremental jobs. ``move``: legal moves only; late events after a terminal status, and moves to a
+        status that another job of the key holds, are dropped. ``recover``: running jobs are superseded by a waiting successor
+        of their key or wait again; requested cancellations are done."""
+        if event["kind"] == "submit":
+            self._submit(event)
+        elif event["kind"] == "move":
+            job = self.jobs.get(event["job"])
+            if job is not None and (job["status"], event["status"]) in MOVES:
+                if event["status"] != "pending" or job["full_scan"] or job["dedupe"] not in self.waiting:
+                    self._set(job, status=event["status"])
+        elif event["kind"] == "recover":
+            for job in [j for j in self.jobs.values() if j["status"] in ACTIVE]:
+                if job["status"] == "cancel_requested":
+                    self._set(job, status="cancelled")
+                elif not job["full_scan"] and (heir := self.waiting.get(job["dedupe"])) is not None:
+                    self._set(job, status="superseded", superseded_by=heir)
+                else:
+                    self._set(job, status="pending")
+
+    def _submit(self, event: dict) -> None:
         new = {"job": event["job"], "dedupe": event["dedupe"], "full_scan": bool(event["full_scan"]), "priority": event["priority"], "status": "pending", "superseded_by": None}
-        twin = next((j for j in pending if j["dedupe"] == new["dedupe"] and j["full_scan"] == new["full_scan"]), None)
-        scan = next((j for j in pending if j["full_scan"]), None)
-        if twin is not None:
-            twin["priority"] = max(twin["priority"], new["priority"])
-            return
-        if scan is not None and not new["full_scan"]:
-            new |= {"status": "superseded", "superseded_by": scan["job"]}
-        elif new["full_scan"]:
-            if scan is not None:
+        if new["full_scan"]:
+            if self.scan is not None:
                 return
-            for j in pending:
-                j |= {"status": "superseded", "superseded_by": new["job"]}
-        jobs[new["job"]] = new
-    elif event["kind"] == "move":
-        job = jobs.get(event["job"])
-        if job is not None and (job["status"], event["status"]) in MOVES:
-            job["status"] = event["status"]
-    elif event["kind"] == "recover":
-        for j in jobs.values():
-            if j["status"] == "cancel_requested":
-                j["status"] = "cancelled"
-            elif j["status"] == "running":
-                heir = next((p for p in pending if p["dedupe"] == j["dedupe"]), None)
-                j |= {"status": "superseded", "superseded_by": heir["job"]} if heir else {"status": "pending"}
+            for job in list(self.waiting.values()):
+                self._set(self.jobs[job], status="superseded", superseded_by=new["job"])
+        elif (twin := self.waiting.get(new["dedupe"])) is not None:
+            self.jobs[twin]["priority"] = max(self.jobs[twin]["priority"], new["priority"])
+            return
+        elif self.scan is not None and self.jobs[self.scan]["status"] == "pending":
+            new |= {"status": "superseded", "superseded_by": self.scan}
+        self.jobs[new["job"]] = new
+        self._file(new)
 
 
 def _frame(project: int, jobs: dict[int, dict]) -> pd.DataFrame:
@@ -71,23 +105,24 @@ def reduce_log(events: DataFrame) -> DataFrame:
     """The jobs of every project after its whole log; a project's log is reduced by one task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        jobs: dict[int, dict] = {}
+        queue = Queue()
         for event in pdf.sort_values("seq").to_dict("records"):
-            step(jobs, event)
-        return _frame(int(pdf["project"].iloc[0]), jobs)
+            queue.step(event)
+        return _frame(int(pdf["project"].iloc[0]), queue.jobs)
 
     return events.groupBy("project").applyInPandas(run, JOBS)
 
 
 def follow(events: DataFrame) -> DataFrame:
-    """The same over a stream: a project's jobs after each batch that holds events of it (update mode)."""
+    """The same over a stream: after each batch that holds events of a project, its jobs that are alive and those that ended
+    in it (update mode). Jobs that have ended leave the state."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        jobs = {int(k): v for k, v in json.loads(state.get[0]).items()} if state.exists else {}
+        queue = Queue({int(k): v for k, v in json.loads(state.get[0]).items()} if state.exists else {})
         for event in pd.concat(list(batches)).sort_values("seq").to_dict("records"):
-            step(jobs, event)
-        state.update((json.dumps(jobs, default=int),))
-        yield _frame(int(key[0]), jobs)
+            queue.step(event)
+        state.update((json.dumps({k: j for k, j in queue.jobs.items() if j["status"] not in TERMINAL}, default=int),))
+        yield _frame(int(key[0]), queue.jobs)
 
     return events.groupBy("project").applyInPandasWithState(run, JOBS, "jobs string", "update", "NoTimeout")
 
