@@ -86,13 +86,42 @@ def q14(spark, sf):
     return S.sampled_freshness(stored, found)
 
 
-@register("s4_extract")
+@register(
+    "s4_extract",
+    """WITH p AS (SELECT p_brand || '/' || p_partkey || '.py' AS path, replace(p_name, ' ', '_') AS word FROM part)
+SELECT path, 'import' AS kind, 'os' AS name, NULL AS owner, 'os' AS target, 1 AS line, NULL AS form FROM p UNION ALL SELECT path, 'binding', NULL, NULL, 'pkg', 2, NULL FROM p UNION ALL SELECT path, 'import', 'x', NULL, 'pkg', 2, NULL FROM p
+UNION ALL SELECT path, 'class', 'C' || word, NULL, NULL, 4, NULL FROM p UNION ALL SELECT path, 'base', 'C' || word, NULL, 'Base', 4, NULL FROM p UNION ALL SELECT path, 'function', 'C' || word || '.run', 'C' || word, NULL, 5, NULL FROM p
+UNION ALL SELECT path, 'call', NULL, 'C' || word || '.run', 'send', 6, 'attribute' FROM p UNION ALL SELECT path, 'pattern', word, NULL, 'C' || word || '.run', 6, 'django_signal_send' FROM p
+UNION ALL SELECT path, 'function', word, NULL, NULL, 8, NULL FROM p UNION ALL SELECT path, 'call', NULL, word, 'x', 9, 'name' FROM p""",
+)
 def s4(spark, sf):
-    """Facts of small sources made from part names."""
+    """Facts of sources made from all parts."""
+    p = table(spark, sf, "part")
+    word = F.replace("p_name", F.lit(" "), F.lit("_"))
+    source = F.concat(F.lit("import os\nfrom pkg import x\n\nclass C"), word, F.lit("(Base):\n    def run(self):\n        return "), word, F.lit(".send(os)\n\ndef "), word, F.lit("(a, b=1):\n    return x(a)\n"))
+    files = p.select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), source.alias("source"))
+    return X.extract(files).select("path", "kind", "name", "owner", "target", "line", "form")
+
+
+@register(
+    "d3_synthesizers",
+    """WITH t AS (SELECT DISTINCT p_type AS impl FROM part WHERE p_type <> 'ECONOMY'), m AS (SELECT p_type AS owner, p_name AS name, p_type || '.' || p_name AS node, min(p_size) AS line FROM part GROUP BY ALL),
+f AS (SELECT impl, u.node AS caller, d.node AS callee, u.line, u.name FROM t JOIN m u ON u.owner = 'ECONOMY' JOIN m d ON d.owner = impl AND d.name = u.name),
+e AS (SELECT 'p' || p_partkey AS caller, p_name AS signal, p_size AS line FROM part WHERE p_partkey % 40 = 1), r AS (SELECT p_name AS signal, 'p' || p_partkey AS handler, count(*) OVER (PARTITION BY p_name) AS n FROM part WHERE p_partkey % 40 = 2)
+SELECT caller, callee, 0 AS line, 'interface-impl' AS via FROM f QUALIFY row_number() OVER (PARTITION BY impl ORDER BY line, name, caller, callee) <= 10
+UNION ALL SELECT caller, handler, min(line), 'observer' FROM e JOIN r USING (signal) WHERE n <= 20 AND caller <> handler GROUP BY ALL""",
+)
+def d3(spark, sf):
+    """All derived edges of the tables that are there."""
+    from spindrift.operators import synthesize
+
     p = table(spark, sf, "part")
-    word = F.regexp_replace("p_name", " ", "_")
-    source = F.concat(F.lit("import os\n\nclass "), F.initcap(word), F.lit(":\n    def run(self):\n        return "), word, F.lit("(os.sep)\n\ndef "), word, F.lit("(x):\n    return x.strip()\n"))
-    return X.extract(p.select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), source.alias("source")))
+    k, node = F.col("p_partkey") % 40, F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    kind = F.when(k == 1, "observer_emit").when(k == 2, "observer_register")
+    patterns = p.select(kind.alias("pattern_type"), F.col("p_name").alias("signal"), node.alias("handler"), F.col("p_size").alias("line")).where("pattern_type is not null")
+    bases = p.select(F.col("p_type").alias("impl"), F.lit("ECONOMY").alias("base")).distinct().where("impl <> base")
+    methods = p.groupBy(F.col("p_type").alias("owner"), F.col("p_name").alias("name")).agg(F.min("p_size").alias("line")).withColumn("node", F.concat("owner", F.lit("."), "name"))
+    return synthesize.run({"patterns": patterns, "bases": bases, "methods": methods})
 
 
 @register("windows_beyond_reference", "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts)::VARCHAR AS day, count(*) AS n FROM events GROUP BY ALL")

@@ -143,7 +143,7 @@ _ORDER = "lower(name), name, file, coalesce(line, 0)"
 p AS (SELECT ref, name, file, line, 1 AS priority, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM w WHERE len(list_filter(ws, lambda x: starts_with(x, 'blue'))) > 0 AND len(list_filter(ws, lambda x: starts_with(x, 'bolt'))) > 0),
 b AS (SELECT ref, name, file, line, 2 AS priority, row_number() OVER (ORDER BY score, {_ORDER}) AS rank FROM s JOIN code_symbols USING (ref) WHERE kind = 'symbol' AND matched = 2),
 c AS (SELECT * FROM p WHERE rank <= 20 UNION ALL SELECT * FROM b WHERE rank <= 20),
-m AS (SELECT ref, name, file, line, min(priority) AS priority, arg_min(rank, priority) AS rank, string_agg(CASE priority WHEN 1 THEN 'prefix#' ELSE 'bm25#' END || rank, ', ' ORDER BY priority) AS sources FROM c GROUP BY ALL)
+m AS (SELECT ref, name, file, line, min(priority) AS priority, arg_min(rank, priority) AS rank, string_agg(CASE priority WHEN 1 THEN 'prefix#' ELSE 'bm25#' END || rank, ', ' ORDER BY priority) AS sources FROM c GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (ORDER BY priority, rank, {_ORDER}) AS position FROM m)
 SELECT position::INT AS position, ref, CASE priority WHEN 1 THEN 'prefix' ELSE 'bm25' END AS channel, rank::INT AS rank, sources, signature, summary_short AS summary
 FROM n JOIN code_docs ON node_ref = ref AND node_kind = 'symbol' WHERE position <= 20""",
