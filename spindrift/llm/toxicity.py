@@ -167,13 +167,16 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.n
 
     ``votes`` holds 1 where a voter speaks and 0 where it abstains. At first any vote speaks for the class; from those
     posteriors comes the tree of the correlations that pay for their parameters, and the model with that tree is estimated.
-    Its posteriors give the tree of the second estimate. Rates by a parent's vote are drawn towards those without.
+    Its posteriors give the tree of the second estimate. Rates by a parent's vote are drawn towards those without. The last
+    voter stays out of the tree: it speaks where no lexicon does, so given it the others would have nothing left to say.
     """
     n, m = votes.shape
     post = np.clip(votes[:, :-1].max(axis=1) * 0.9 + 0.02, 0, 1) if m > 1 else np.full(n, prior)
     rates = np.full((m, 2, 2), 0.5)
     for _ in range(2):
-        parent = tree(correlations(votes, post), np.log(max(n, 2)) / max(n, 2))
+        weights = correlations(votes, post)
+        weights[-1], weights[:, -1] = 0, 0
+        parent = tree(weights, np.log(max(n, 2)) / max(n, 2))
         above = np.where(parent >= 0, votes[:, parent], 0)
         for _ in range(rounds):
             weight = np.stack([post, 1 - post], axis=1)

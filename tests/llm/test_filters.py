@@ -210,7 +210,7 @@ def test_label_model(monkeypatch):
     votes = np.stack([rng.random(400) < np.where(truth, hi, lo) for hi, lo in ((0.8, 0.1), (0.7, 0.05), (0.6, 0.1), (0.5, 0.02))] + [~truth & (rng.random(400) < 0.9)], axis=1).astype(float)
     votes[:, 3] = np.where(rng.random(400) < 0.9, votes[:, 2], votes[:, 3])  # one voter mostly repeats another
     post, rates, parent = toxicity.label_model(votes, 0.3)
-    assert (parent[2] == 3 or parent[3] == 2) and rates.shape == (5, 2, 2) and ((post > 0.5) == truth).mean() > 0.85
+    assert parent[-1] == -1 and 4 not in parent and (parent[2] == 3 or parent[3] == 2) and rates.shape == (5, 2, 2) and ((post > 0.5) == truth).mean() > 0.85
     for fixed in ([-1] * 5, [-1, 0, -1, 2, 0]):
         monkeypatch.setattr(toxicity, "tree", lambda weights, least, fixed=fixed: np.array(fixed))
         prior, start = 0.3, np.clip(votes[:, :-1].max(axis=1) * 0.9 + 0.02, 0, 1)
