@@ -1,5 +1,6 @@
 """Exact, near-duplicate and passage operators against brute force."""
 
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -270,3 +271,21 @@ def test_every_place_of_a_repeat_is_found(spark):
     docs = spark.createDataFrame([(1, " ".join(words(4, 300) + passage)), (2, " ".join(long_))], "doc_id long, text string")
     got = sorted((r.start, r.end) for r in passages.repeated(docs).collect())
     assert got == [(40, 100), (800, 860), (1360, 1420)]
+
+
+def test_runs_of_blocks_hold_each_stretch(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(5_000)]
+    texts = [rng.choices(words, k=n) for n in (3_000, 2_000, 300)]
+    places = [(0, 2_900, 1, 0, 90), (0, 700, 2, 240, 60)]
+    for x, i, y, j, n in places:
+        texts[y][j : j + n] = texts[x][i : i + n]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id long, text string")
+    spans = [(x, max(0, i - 92), n + 92 + min(i, 92), y, max(0, j - 92), n + 92 + min(j, 92)) for x, i, y, j, n in places]
+    spans = spark.createDataFrame(spans, "a long, a_from int, a_size int, b long, b_from int, b_size int")
+    runs = passages._sequences(docs, spans, 5)
+    held = runs.selectExpr("id", "low", "size(tokens) n").collect()
+    assert sum(r.n for r in held if r.id == 0) < 1_500  # the rest of the long text stays behind
+    found = passages._verified(spans, runs, 46, 75, 5).collect()
+    for x, i, y, j, n in places:
+        assert any((r.a, r.b) == (x, y) and r.a_start <= i and i + n <= r.a_end and r.b_start <= j and j + n <= r.b_end for r in found)
