@@ -186,6 +186,20 @@ def test_links_that_pass_by_the_least_text(spark):
     assert got == {(3 * k + n + 1, 3 * k + n) for k in range(30) for n in (0, 1)}
 
 
+@pytest.mark.parametrize("lines", [False, True])
+def test_crowded_windows_without_matches_cost_little(spark, monkeypatch, lines):
+    """Texts that share one word over and over, or a line, in other surroundings don't meet each other one by one."""
+    line, compared, verified = words(70_000, 20), [], passages._verified
+    part = lambda i: line if lines else ["the"] * (60 if i % 4 == 1 else 20)
+    rows = [(i, words(50_000 + i, 60) + part(i) + words(60_000 + i, 60)) for i in range(60)]
+    rows += [(100 + i, words(80_000 + i, 60) + words(50_000 + i, 130)[:55]) for i in range(2)]
+    monkeypatch.setattr(passages, "_verified", lambda spans, *rest: compared.append(spans.count()) or verified(spans, *rest))
+    got = {(r.doc_id, r.of_doc_id) for r in passages.repeated(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()}
+    same = {i for i in range(60) if i % 4 == 1 and not lines}
+    assert {(100, 0), (101, 1)} <= got and {i for pair in got - {(100, 0), (101, 1)} for i in pair} == same
+    assert sum(compared) <= 4 * len(rows)
+
+
 def test_matching_passages_have_a_run_in_common():
     assert passages.sure_run(46, 75, 5) == 14 and passages.sure_run(46, 100, 5) == 50
 
