@@ -252,6 +252,24 @@ def test_lm(spark):
     assert lm.score(nothing(spark), RANKS).count() == 0 and lm.score(documents(spark, True).limit(3), RANKS).count() == 3
 
 
+def test_lm_learns_from_every_training_text(spark, monkeypatch):
+    """The attention is trained on every window of all training texts, however many there are."""
+    rows = [(k, " ".join(f"word{(k * j) % 97}" for j in range(20)), None, None, None) for k in range(4_200)]
+    train, found = lm.train, []
+
+    def watched(docs, model, path, windows, *rest):
+        _, _, ids, at = lm.spell(docs.select("text").toArrow().column("text").combine_chunks(), lm._codec(path))
+        there, again = len(lm._windows(model, ids, at)[2]), max(1, -(-lm.STEPS * lm.BATCH // windows))
+        found.append((train(docs, model, path, windows, *rest), there * again))
+        return found[-1][0]
+
+    monkeypatch.setattr(lm, "STEPS", 20)
+    monkeypatch.setattr(lm, "train", watched)
+    assert lm.score(spark.createDataFrame(rows, SCHEMA), RANKS).count() == len(rows)
+    model, windows = found[0]
+    assert model.windows == windows > 0 and len(model.losses) == lm.ROUNDS and model.losses[-1] < model.losses[0]
+
+
 def test_lm_by_a_plain_loop():
     """Every id's probability by loops over single positions, without windows, batches or arrays of more than one id."""
     texts = ["some words to learn from and some more", "", "more words", "wordless wordings"]
