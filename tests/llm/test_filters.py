@@ -5,14 +5,17 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
+from time import process_time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
 
 from spindrift.llm import bpe, decontaminate, language_id, line_dedup, lm, toxicity, url_filter
-from tests.llm.fixtures import SCHEMA, corpus, documents, nothing
+from tests.llm.fixtures import SCHEMA, corpus, documents, nothing, words
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -317,6 +320,72 @@ def test_lm_by_a_plain_loop():
     assert np.allclose(got, np.log10(want), atol=1e-3)
 
 
+def plain_step(model, m, classes, f, begin, stop, step, rate):
+    """A step of the attention's training, row by row: what it adds to each weight."""
+    at = f[:, None] + np.arange(lm.STRIDE - lm.WINDOW, lm.STRIDE)
+    known = at >= begin[:, None]
+    keys = np.where(known, np.take(classes, at, mode="clip"), model.start)
+    queries = keys[:, lm.WINDOW - lm.STRIDE :]
+    back = (np.arange(lm.STRIDE)[:, None] + lm.WINDOW - lm.STRIDE) - np.arange(lm.WINDOW)[None, :]
+    places = np.clip(back, 0, lm.WINDOW - 1)
+    scores = model.query[queries] @ model.key[keys].transpose(0, 2, 1) / np.sqrt(lm.WIDTH) + model.near[places]
+    weights = np.exp(scores) * (back >= 0) * known[:, None, :]
+    weights /= weights.sum(axis=2, keepdims=True)
+    context = weights @ model.value[keys]
+    p = np.exp(context @ model.out + model.after[queries])
+    p /= p.sum(axis=2, keepdims=True)
+    target = f[:, None] + np.arange(1, lm.STRIDE + 1)
+    real = (target <= stop[:, None])[:, :, None]
+    wanted = np.minimum(classes[np.minimum(target, len(classes) - 1)], lm.CLASSES - 1)[:, :, None]
+    loss = -np.log(np.take_along_axis(p, wanted, axis=2)[real]).mean()
+    np.put_along_axis(p, wanted, np.take_along_axis(p, wanted, axis=2) - 1, axis=2)
+    p = p * real / real.sum()
+    d_context = p @ model.out.T
+    d_weights = d_context @ model.value[keys].transpose(0, 2, 1)
+    d_scores = weights * (d_weights - (d_weights * weights).sum(axis=2, keepdims=True))
+    grad = {k: np.zeros(getattr(model, k).shape) for k in lm._WEIGHTS}
+    grad["out"] = np.einsum("bqd,bqc->dc", context, p)
+    np.add.at(grad["after"], queries.ravel(), p.reshape(-1, lm.CLASSES))
+    np.add.at(grad["value"], keys.ravel(), (weights.transpose(0, 2, 1) @ d_context).reshape(-1, lm.WIDTH))
+    np.add.at(grad["query"], queries.ravel(), (d_scores @ model.key[keys]).reshape(-1, lm.WIDTH) / np.sqrt(lm.WIDTH))
+    np.add.at(grad["key"], keys.ravel(), (d_scores.transpose(0, 2, 1) @ model.query[queries]).reshape(-1, lm.WIDTH) / np.sqrt(lm.WIDTH))
+    np.add.at(grad["near"], places, d_scores.sum(axis=0))
+    for k in lm._WEIGHTS:
+        a, v = m[k]
+        a += 0.1 * (grad[k] - a)
+        v += 0.01 * (grad[k] ** 2 - v)
+        weight = getattr(model, k)
+        weight -= (rate * 0.02 * min(1, step / 50) * (a / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(weight.dtype)
+    return loss
+
+
+def test_lm_trains_as_a_plain_loop_does_in_less_time():
+    model = lm.fit([" ".join(words(k, 90)) for k in range(60)], RANKS, steps=20)
+    ids, at = lm.spell(pa.array([" ".join(words(k, 7 + 9 * k)) for k in range(40)]), lm._codec(RANKS))[2:]
+    classes, _, first, begin, stop = lm._windows(model, ids, at)
+    one, other = (replace(model, **{k: getattr(model, k).copy() for k in lm._WEIGHTS}) for _ in range(2))
+    m, plain = lm._moments(one), {k: [np.zeros(getattr(model, k).shape) for _ in range(2)] for k in lm._WEIGHTS}
+    spent = [[], []]
+    for step in range(1, 31):
+        pick = np.random.default_rng(step).integers(0, len(first), lm.BATCH)
+        losses = []
+        for took, run, weights, moments in zip(spent, (lm._step, plain_step), (one, other), (m, plain)):
+            begun = process_time()
+            losses.append(run(weights, moments, classes, first[pick], begin[pick], stop[pick], step, 0.5))
+            took.append(process_time() - begun)
+        assert abs(losses[0] - losses[1]) < 1e-3
+    assert all(np.abs(getattr(one, k) - getattr(other, k)).max() < 1e-2 for k in lm._WEIGHTS)
+    assert 2 * min(spent[0]) < min(spent[1])
+
+
+def test_lm_counts_by_key():
+    keys = np.random.default_rng(2).integers(0, 1 << 64, 5_000, dtype=np.uint64)
+    for n in (0, 1, 5, 5_000):
+        held = lm.Counts.of(keys[:n], np.arange(n) + 1)
+        assert held.get(keys).tolist() == [k + 1 if k < n else 0 for k in range(5_000)]
+        assert held.get(np.array([0, (1 << 64) - 1], dtype=np.uint64)).tolist() == [0, 0] and len(held.get(keys[:0])) == 0
+
+
 def test_lm_is_a_distribution():
     """Over all ids that may come next, probabilities add up to one."""
     model = lm.fit(["some words to learn from and some more"] * 40, RANKS, steps=20)
