@@ -278,6 +278,29 @@ def test_edited_copies_of_a_common_passage(spark):
     assert found == set(range(1, 34))
 
 
+def test_texts_before_a_representative_repeat_the_first_of_them(spark):
+    """The representative shares more than the passage, with later texts; earlier ones are reported all the same."""
+    passage, line = words(50, 60), words(70, 30)
+    texts = [words(100 + i, 60 + i) + passage + (line if i >= 10 else []) + words(300 + i, 60) for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = passages.repeated(docs).collect()
+    assert {r.doc_id for r in got} == set(range(1, 40)) and all(r.of_doc_id < r.doc_id for r in got)
+    assert {r.doc_id for r in got if r.of_doc_id == 0} >= set(range(1, 10)) and len(got) < 200
+
+
+def test_only_stretches_are_joined_with_pairs(spark):
+    """Many hits of a pair are one stretch before the pairs are joined."""
+    windows = spark.createDataFrame([(16 * k, i, 10 * k, False) for k in range(200) for i in (1, 2)], "key long, id long, c int, crowded boolean")
+    hits = passages._hits(windows, windows)
+    spans = passages._spans(hits, passages._gathered(hits, 1), 92)
+    assert [tuple(r) for r in spans.collect()] == [(1, 0, 2083, 2, 0, 2083)]
+    plan = spans._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    sides = [plan.children().apply(i).toString() for i in range(2)]
+    assert any("Aggregate" in side.split("lag(")[0] for side in sides if "lag(" in side)
+
+
 def test_one_hit_with_a_representative_is_enough(spark, monkeypatch):
     monkeypatch.setattr(passages, "SHORT", 1)
     passage = words(50, 60)
