@@ -122,6 +122,15 @@ def test_override_caps(spark):
     assert {r.caller for r in resolve.overrides(bases, methods, "v", cap=2).collect()} == {"B.m4", "B.m3"}
 
 
+def test_dispatch_reaches_all_handlers(spark):
+    fields = spark.createDataFrame([("ops", "open"), ("ops", "close"), ("dev", "close")], "owner string, field string")
+    given = [("ops", "open", n) for n in range(500)] + [("ops", "close", n) for n in range(400, 600)] + [("dev", "close", 7)]
+    registered = spark.createDataFrame(given, "owner string, field string, handler int")
+    sites = spark.createDataFrame([(1, "open", None), (2, "open", None), (2, "close", "ops"), (2, "close", "ops"), (3, "close", "dev"), (4, "close", None), (5, "read", "ops")], "caller int, field string, hint string")
+    got = sorted(tuple(r) for r in resolve.pointer_dispatch(fields, registered, sites).collect())
+    assert got == [(1, n) for n in range(500)] + [(2, n) for n in range(600)] + [(3, 7)]
+
+
 def test_import_bindings(spark):
     paths = spark.createDataFrame([(x,) for x in ("a/b.py", "x/a/b.py", "one/two.py", "pkg/__init__.py", "os.py")], "path string")
     given = spark.createDataFrame([("f", "a.b", ["p"]), ("f", "one.two", ["q"]), ("f", "two", ["r"]), ("g", "os.path", ["s"]), ("g", "none", ["t", "u"]), ("g", "pkg", ["v"]), ("g", "", ["w"])], "file string, module string, names array<string>")
