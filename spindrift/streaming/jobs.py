@@ -26,6 +26,7 @@ MOVES = (
     ("running", "superseded"),
     ("cancel_requested", "cancelled"),
 )
+_LEGAL = frozenset(MOVES)
 ACTIVE = ("running", "cancel_requested")
 TERMINAL = ("succeeded", "failed", "cancelled", "superseded")
 EVENTS = "project long, seq long, kind string, job long, dedupe string, full_scan boolean, priority int, status string"
@@ -33,17 +34,31 @@ JOBS = "project long, job long, dedupe string, full_scan boolean, priority int,
 
 
 class Queue:
-    """A project's jobs, with those that wait filed by their key, so that an event touches only the jobs it is about."""
+    """A project's jobs, with those that wait filed by their key and those that are active by their place, so that an event
+    touches only the jobs it is about."""
 
     def __init__(self, jobs: dict[int, dict] | None = None) -> None:
         self.jobs = jobs or {}
         self.waiting: dict[str, int] = {}
+        self.active: set[int] = set()
+        self.place: dict[int, int] = {}
+        self.placed = 0
         self.scan: int | None = None
         for job in self.jobs.values():
-            self._file(job)
+            self._enter(job)
+
+    def _enter(self, job: dict) -> None:
+        if job["job"] not in self.place:
+            self.place[job["job"]] = self.placed
+            self.placed += 1
+        self._file(job)
 
     def _file(self, job: dict) -> None:
         alive = job["status"] == "pending" or job["status"] in ACTIVE
+        if job["status"] in ACTIVE:
+            self.active.add(job["job"])
+        else:
+            self.active.discard(job["job"])
         if job["full_scan"]:
             self.scan = job["job"] if alive else None if self.scan == job["job"] else self.scan
         elif job["status"] == "pending":
@@ -67,11 +82,11 @@ class Queue:
             self._submit(event)
         elif event["kind"] == "move":
             job = self.jobs.get(event["job"])
-            if job is not None and (job["status"], event["status"]) in MOVES:
+            if job is not None and (job["status"], event["status"]) in _LEGAL:
                 if event["status"] != "pending" or job["full_scan"] or job["dedupe"] not in self.waiting:
                     self._set(job, status=event["status"])
         elif event["kind"] == "recover":
-            for job in [j for j in self.jobs.values() if j["status"] in ACTIVE]:
+            for job in [self.jobs[k] for k in sorted(self.active, key=self.place.__getitem__)]:
                 if job["status"] == "cancel_requested":
                     self._set(job, status="cancelled")
                 elif not job["full_scan"] and (heir := self.waiting.get(job["dedupe"])) is not None:
@@ -92,7 +107,15 @@ class Queue:
         elif self.scan is not None and self.jobs[self.scan]["status"] == "pending":
             new |= {"status": "superseded", "superseded_by": self.scan}
         self.jobs[new["job"]] = new
-        self._file(new)
+        self._enter(new)
+
+    def sweep(self) -> dict[int, dict]:
+        """The jobs that have ended, which no later event can change, taken out of the queue."""
+        kept = {*self.waiting.values(), self.scan}
+        out = {k: j for k, j in self.jobs.items() if j["status"] in TERMINAL and k not in kept}
+        for k in out:
+            del self.jobs[k]
+        return out
 
 
 def _frame(project: int, jobs: dict[int, dict]) -> pd.DataFrame:
@@ -101,14 +124,27 @@ def _frame(project: int, jobs: dict[int, dict]) -> pd.DataFrame:
     return out.astype({"superseded_by": "Int64"})
 
 
-def reduce_log(events: DataFrame) -> DataFrame:
-    """The jobs of every project after its whole log; a project's log is reduced by one task."""
+def _records(pdf: pd.DataFrame, size: int = 8192) -> Iterator[dict]:
+    """Rows as dictionaries, by the order of events, so many at a time."""
+    pdf = pdf.sort_values("seq")
+    for k in range(0, len(pdf), size):
+        yield from pdf.iloc[k : k + size].to_dict("records")
+
+
+def reduce_log(events: DataFrame, sweep: int = 8192) -> DataFrame:
+    """The jobs of every project after its whole log; a project's log is reduced by one task.
+
+    Jobs that have ended leave the queue once it has doubled and holds ``sweep`` jobs or more; one that is submitted again later
+    counts as it was last."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        queue = Queue()
-        for event in pdf.sort_values("seq").to_dict("records"):
+        project, queue, ended, full = int(pdf["project"].iloc[0]), Queue(), [], sweep
+        for event in _records(pdf):
             queue.step(event)
-        return _frame(int(pdf["project"].iloc[0]), queue.jobs)
+            if len(queue.jobs) >= full:
+                ended.append(_frame(project, queue.sweep()))
+                full = max(sweep, 2 * len(queue.jobs))
+        return pd.concat([*ended, _frame(project, queue.jobs)]).drop_duplicates("job", keep="last")
 
     return events.groupBy("project").applyInPandas(run, JOBS)
 
@@ -119,7 +155,7 @@ def follow(events: DataFrame) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         queue = Queue({int(k): v for k, v in json.loads(state.get[0]).items()} if state.exists else {})
-        for event in pd.concat(list(batches)).sort_values("seq").to_dict("records"):
+        for event in _records(pd.concat(list(batches))):
             queue.step(event)
         state.update((json.dumps({k: j for k, j in queue.jobs.items() if j["status"] not in TERMINAL}, default=int),))
         yield _frame(int(key[0]), queue.jobs)

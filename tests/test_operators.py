@@ -261,6 +261,30 @@ def test_queue_batch_equals_stream(spark, tmp_path):
     assert {(r.job, r.status, r.priority, r.superseded_by) for r in spark.table("jobs").collect()} == got
 
 
+def test_queue_recovers_without_looking_at_all_jobs():
+    class Counted(dict):
+        seen = 0
+
+        def values(self):
+            Counted.seen += len(self)
+            return super().values()
+
+    queue = jobs.Queue(Counted())
+    for n in range(0, 2000, 2):
+        queue.step({"kind": "submit", "job": n, "dedupe": f"k{n}", "full_scan": False, "priority": 0})
+        queue.step({"kind": "move", "job": n, "status": "running"})
+        queue.step({"kind": "submit", "job": n + 1, "dedupe": f"k{n}", "full_scan": False, "priority": 0})
+        queue.step({"kind": "recover"})
+    assert Counted.seen == 0 and queue.jobs[1998]["superseded_by"] == 1999 and len(queue.active) == 0
+
+
+def test_queue_gives_jobs_that_left_it(spark):
+    log = [(1, 2 * n, "submit", n % 70, "s", n % 2 == 0, n, None) for n in range(100)] + [(1, 2 * n + 1, "move", n % 70, None, None, None, ("cancelled", "running")[n % 2]) for n in range(100)]
+    events = spark.createDataFrame(log, jobs.EVENTS)
+    small, large = ({tuple(r) for r in jobs.reduce_log(events, sweep=n).collect()} for n in (3, 1000))
+    assert small == large and len(small) == len({r[1] for r in small}) > 3
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "pkg").mkdir()
     (tmp_path / "pkg" / "a.py").write_text("import os\nclass A(B):\n    def f(self):\n        return g(os.x())\n")
