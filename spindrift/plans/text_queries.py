@@ -81,8 +81,7 @@ def t2(spark, sf):
 
 @register("r10_postings", f'WITH {_INDEX} SELECT col AS "column", token, count(*) AS n, count(DISTINCT kind || ref) AS docs FROM post GROUP BY ALL')
 def r10_postings(spark, sf):
-    rows = _index(spark, sf).postings
-    return rows.groupBy("column", "token").agg(F.count("*").alias("n"), F.count_distinct("kind", "ref").alias("docs"))
+    return S.vocabulary(_index(spark, sf))
 
 
 @register(

@@ -214,6 +214,18 @@ def test_search(spark):
     assert t == {"cafe": (2, False), "cold": (1, False)}
 
 
+def test_index_counts_terms_without_shuffling_tokens(spark):
+    docs = spark.createDataFrame([("file", "p", "a a a", "ab b"), ("file", "q", "b a", None), ("file", "r", None, "")], "node_kind string, node_ref string, name string, summary_short string")
+    index = search.build(docs, ("name", "summary_short"))
+    assert {(r.column, r.token): (r.n, r.docs) for r in search.vocabulary(index).collect()} == {("name", "a"): (4, 2), ("name", "b"): (1, 1), ("summary_short", "ab"): (1, 1), ("summary_short", "b"): (1, 1)}
+    assert {r.ref: r.length for r in index.nodes.collect()} == {"p": 5, "q": 2, "r": 0}
+    weights = {"name": 1.0, "summary_short": 5.0}
+    hits = search.bm25(index, ["a", "b"], weights)
+    assert {r.ref: r.matched for r in hits.collect()} == {"p": 2, "q": 2} and "hashpartitioning" not in hits._jdf.queryExecution().executedPlan().toString()
+    count = lambda c, *t: {r.ref: r.n for r in index.nodes.select("ref", c.alias("n")).collect()}
+    assert count(search._phrases("name", ["a", "a"])) == {"p": 2, "q": 0, "r": 0} and count(search._begun("summary_short", "a")) == {"p": 1, "q": 0, "r": 0}
+
+
 def test_answers(spark):
     one = spark.range(1)
     f = lambda c: one.select(c.alias("x")).first().x
