@@ -139,6 +139,20 @@ def test_import_bindings(spark):
     assert {tuple(r) for r in outside.collect()} == {("g", "s"), ("g", "t"), ("g", "u")}
 
 
+def test_calls_that_are_alike_are_resolved_once(spark):
+    symbols = spark.createDataFrame([(f"t{n}", "a", "f", "g", "py") for n in range(15)], "target string, file string, name string, short_name string, scope string")
+    rows = [(n, ("a", "b")[n % 2], "f", None, "name") for n in range(400)] + [(7, "b", "f", "py", "attribute"), (500, "c", "g", "py", "name")]
+    calls = spark.createDataFrame(rows, "call int, file string, name string, scope string, form string")
+    imports = spark.createDataFrame([("b", "a")], "file string, imported string")
+    seen = []
+    got = resolve.alike(calls, lambda once: (seen.append(once.select("call").distinct().count()), resolve.candidates_of(once, symbols, imports))[1])
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    assert seen == [4] and got.columns == ["call", "target", "score"]
+    assert plain(got) == plain(resolve.candidates_of(calls, symbols, imports)) and got.count() == 400 * 15 + 10
+    assert plain(resolve.stored_candidates(calls, symbols, imports)) == plain(resolve.stored(resolve.candidates_of(calls, symbols, imports)))
+    assert plain(resolve.resolution(calls, symbols, imports)) == plain(resolve.resolve(calls, resolve.candidates_of(calls, symbols, imports)))
+
+
 def test_incremental_resolution_equals_full(spark):
     """A file's symbols change: the affected edges resolved anew, with all others as they were, are those of a full run."""
     import random
