@@ -1,7 +1,8 @@
 """Reachability, paths and closures over edge tables.
 
 Edges are ``(caller, callee, provenance)``; an edge whose callee is null is unresolved and never followed. Loops run on the
-driver over levels, whose number is small and bounded; each level is one join, a distinct and an anti-join.
+driver over levels, whose number is small and bounded; each level is one join, a distinct and an anti-join. Edges that repeat
+do not change what is reached, so walks over edges that are nothing but walked leave them as they are.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from spindrift.plans.runtime import cut
 
 MAX_DEPTH = 5
+#: The most nodes of a frontier that are sent to all edges.
+SMALL = 1 << 18
 STATIC = ("definite", "probable")
 
 
@@ -35,22 +38,38 @@ def followed(edges: DataFrame, static_only: bool | None = False, default: bool =
     return known.distinct()
 
 
-def steps_of(edges: DataFrame, reverse: bool = False) -> DataFrame:
-    """``(node, next)``, dealt by node and kept, so that each level of a walk only moves its frontier."""
-    at, to = ("callee", "caller") if reverse else ("caller", "callee")
-    return cut(edges.select(F.col(at).alias("node"), F.col(to).alias("next")).repartition("node"))
+class Steps:
+    """Edges ``(caller, callee)``, which may repeat, as steps ``(node, next)`` of walks one way.
 
+    A frontier of at most ``SMALL`` nodes goes to where the edges lie, so these are neither dealt nor sorted. A larger one meets
+    edges dealt by node; they are dealt once, when that is first needed, and each level moves its frontier only."""
 
-def levels(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, steps: DataFrame | None = None) -> DataFrame:
+    def __init__(self, edges: DataFrame, reverse: bool = False) -> None:
+        at, to = ("callee", "caller") if reverse else ("caller", "callee")
+        self.rows = edges.select(F.col(at).alias("node"), F.col(to).alias("next"))
+        self.dealt: DataFrame | None = None
+
+    def after(self, frontier: DataFrame, size: int) -> DataFrame:
+        """The steps from a frontier ``(node)`` of that many nodes."""
+        if size <= SMALL:
+            return self.rows.join(F.broadcast(frontier.select("node")), "node")
+        if self.dealt is None:
+            self.dealt = cut(self.rows.repartition("node"))
+        return self.dealt.join(frontier.select("node"), "node")
+
+
+def levels(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """``(depth, node)``: nodes by the least number of edges from the seeds ``(node)``, which never reappear. Empty levels
-    end the walk; the depth is clamped to ``MAX_DEPTH``. ``steps`` may be given where several walks share them."""
-    steps = steps_of(edges, reverse) if steps is None else steps
+    end the walk; the depth is clamped to ``MAX_DEPTH``. Edges are walked as they are, so those that cost much to make should
+    be kept by the caller."""
+    steps = Steps(edges, reverse)
     frontier = seen = cut(seeds.select("node").distinct())
-    out = []
+    out, size = [], frontier.count()
     for d in range(1, max(0, min(depth, MAX_DEPTH)) + 1):
-        reached = steps.join(frontier, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
+        reached = steps.after(frontier, size).select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = cut(reached)
-        if frontier.isEmpty():
+        size = frontier.count()
+        if not size:
             break
         out.append(frontier.select(F.lit(d).alias("depth"), "node"))
         seen = seen.unionByName(frontier)
@@ -99,18 +118,21 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"), F.count("*").alias("degree"))
 
 
-def shortest_path(edges: DataFrame, source, target, rounds: int = 15, budget: int = 2000) -> list | None:
+def shortest_path(edges: DataFrame, source, target, rounds: int = 15, budget: int = 2000, steps: dict[bool, Steps] | None = None) -> list | None:
     """Nodes of a shortest path found from both ends, a level of each a round; parents of least node win ties, and of several
     meeting places the least. None beyond the rounds, or once more nodes than the budget were seen at the start of a round.
-    Parents are looked up one at a time; no table of them reaches the driver."""
+    Parents are looked up one at a time; no table of them reaches the driver. ``steps``, forwards and backwards, may be given where
+    several paths share them."""
     if source == target:
         return [source]
     spark = edges.sparkSession
     kind = edges.schema["caller"].dataType.simpleString()
     begin = lambda x: spark.range(1).select(F.lit(x).cast(kind).alias("node"), F.lit(None).cast(kind).alias("parent"))
     seen = {False: begin(source), True: begin(target)}
-    front, size = dict(seen), 2
-    steps = {reverse: steps_of(edges, reverse) for reverse in (False, True)}
+    front, size, wide = dict(seen), 2, {False: 1, True: 1}
+    if steps is None:
+        edges = cut(edges)
+        steps = {reverse: Steps(edges, reverse) for reverse in (False, True)}
 
     def back(side: bool, node) -> list:
         out = []
@@ -123,14 +145,15 @@ def shortest_path(edges: DataFrame, source, target, rounds: int = 15, budget: in
         if size > budget:
             return None
         for reverse in (False, True):
-            new = steps[reverse].join(front[reverse].select("node"), "node").groupBy("next").agg(F.min("node").alias("parent")).select(F.col("next").alias("node"), "parent")
+            new = steps[reverse].after(front[reverse], wide[reverse]).groupBy("next").agg(F.min("node").alias("parent")).select(F.col("next").alias("node"), "parent")
             front[reverse] = cut(new.join(seen[reverse].select("node"), "node", "left_anti"))
-            size += front[reverse].count()
+            wide[reverse] = front[reverse].count()
+            size += wide[reverse]
             seen[reverse] = seen[reverse].unionByName(front[reverse])
             meet = front[reverse].join(seen[not reverse].select("node"), "node").agg(F.min("node")).first()[0]
             if meet is not None:
                 return [*back(False, meet)[::-1], meet, *back(True, meet)]
-        if all(x.isEmpty() for x in front.values()):
+        if not any(wide.values()):
             return None
     return None
 
@@ -147,8 +170,9 @@ def flow(edges: DataFrame, stops: list, rounds: int = 15, budget: int = 2000, la
     ``labelled`` is ``(caller, callee, provenance, via)``; of several edges between two nodes the least by name counts."""
     spark, rows = edges.sparkSession, []
     edges = cut(edges)
+    steps = {reverse: Steps(edges, reverse) for reverse in (False, True)}
     for k, (a, b) in enumerate(zip(stops, stops[1:]), 1):
-        path = shortest_path(edges, a, b, rounds, budget) if a is not None and b is not None else None
+        path = shortest_path(edges, a, b, rounds, budget, steps) if a is not None and b is not None else None
         if path is None:
             rows.append((k, 0, a, None, None, False))
         for step, node in enumerate(path or []):
@@ -157,7 +181,9 @@ def flow(edges: DataFrame, stops: list, rounds: int = 15, budget: int = 2000, la
     out = spark.createDataFrame(rows, f"segment int, step int, node {kind}, caller {kind}, hops int, found boolean")
     if labelled is None:
         return out.select("segment", "step", "node", F.when(F.col("caller").isNotNull(), "call").alias("label"), "hops", "found")
-    least = labelled.groupBy("caller", F.col("callee").alias("node")).agg(F.min(F.struct("provenance", "via")).alias("m"))
+    # as many rows as the paths have steps
+    taken = F.broadcast(out.select("caller", F.col("node").alias("callee")).where("caller is not null").distinct())
+    least = labelled.join(taken, ["caller", "callee"], "left_semi").groupBy("caller", F.col("callee").alias("node")).agg(F.min(F.struct("provenance", "via")).alias("m"))
     named = out.join(least, ["caller", "node"], "left")
     return named.select("segment", "step", "node", F.when(F.col("caller").isNotNull(), edge_label(F.col("m.provenance"), F.col("m.via"))).alias("label"), "hops", "found")
 
@@ -184,8 +210,9 @@ def named_symbols(symbols: DataFrame, names: list[str]) -> DataFrame:
 def choose_symbol(candidates: DataFrame, edges: DataFrame, resolved: DataFrame) -> DataFrame:
     """Of several candidates ``(name, node)`` for a name the one to take: within two steps of what is resolved already
     first, then by degree, shorter and lesser nodes first."""
+    edges = cut(edges)
     both = edges.unionByName(edges.select(F.col("callee").alias("caller"), F.col("caller").alias("callee")))
-    near = levels(both.distinct(), resolved, 2).select("node", F.lit(1).alias("near"))
+    near = levels(both, resolved, 2).select("node", F.lit(1).alias("near"))
     ranked = candidates.join(near, "node", "left").join(degrees(edges).select("node", "degree"), "node", "left")
     order = F.struct(-F.coalesce("near", F.lit(0)), -F.coalesce("degree", F.lit(0)), F.length(F.col("node").cast("string")), F.col("node").cast("string"))
     return ranked.withColumn("o", order).groupBy("name").agg(F.min_by("node", "o").alias("node"), F.count("*").alias("candidates"))

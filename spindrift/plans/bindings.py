@@ -11,9 +11,15 @@ from spindrift.plans.runtime import keeper, table
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dealt by order, over so many tasks to each split of the table that what one of them sorts has a bound."""
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.repartition(8 * rows.rdd.getNumPartitions(), "l_orderkey")
+
+
 def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cyclic graph: a part calls the next one of its order, as sure as the return flag says."""
-    rows = table(spark, sf_dir, "lineitem")
+    rows = _lines(spark, sf_dir)
     following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*(c.strip() for c in _ORDER.split(","))))
     sure = F.when(F.col("l_returnflag") == "A", "definite").when(F.col("l_returnflag") == "N", "probable").otherwise("inferred")
     calls = rows.select(F.col("l_partkey").alias("caller"), following.alias("callee"), sure.alias("provenance"), F.col("l_linenumber").alias("line"))
@@ -35,12 +41,17 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 PART_FILES = "part_files AS (SELECT p_partkey AS node, p_brand AS file FROM part)"
 
 
-def supply_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A layered graph: customers call parts, parts their suppliers."""
+def supply_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layered graph, its edges as often as they occur: customers call parts, parts their suppliers."""
     both = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     one = both.select(F.concat(F.lit("cust:"), "o_custkey").alias("caller"), F.concat(F.lit("part:"), "l_partkey").alias("callee"))
     two = both.select(F.concat(F.lit("part:"), "l_partkey").alias("caller"), F.concat(F.lit("supp:"), "l_suppkey").alias("callee"))
-    return one.unionByName(two).distinct().withColumn("provenance", F.lit("definite"))
+    return one.unionByName(two).withColumn("provenance", F.lit("definite"))
+
+
+def supply_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each edge of it once."""
+    return supply_rows(spark, sf_dir).distinct()
 
 
 SUPPLY_CALLS = """supply_calls AS (
@@ -145,7 +156,7 @@ FOLDERS = """folders AS (SELECT r_name || '/' || n_name || '/s' || s_suppkey AS
 
 def co_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between suppliers of the same part on neighbouring lines of an order, as files."""
-    rows = table(spark, sf_dir, "lineitem")
+    rows = _lines(spark, sf_dir)
     following = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy(*(c.strip() for c in _ORDER.split(","))))
     pairs = rows.select(F.col("l_suppkey").alias("a"), following.alias("b"), F.col("l_partkey").alias("part")).where("b is not null")
     f = folders(spark, sf_dir)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spindrift.operators import graph as G
 from spindrift.plans import bindings as B
 from spindrift.plans.catalog import register
-from spindrift.plans.runtime import table
+from spindrift.plans.runtime import cut, table
 
 
 def bfs_sql(edges: str, seeds: str, depth: int, reverse: bool, ctes: str) -> str:
@@ -23,18 +23,18 @@ def _one(spark, node):
 
 @register("g1_reverse_bfs", bfs_sql("SELECT * FROM part_calls", "SELECT 1::BIGINT AS node", 2, True, B.PART_CALLS))
 def g1(spark, sf):
-    return G.levels(G.followed(B.part_calls(spark, sf)), _one(spark, 1), 2, True)
+    return G.levels(cut(G.followed(B.part_calls(spark, sf))), _one(spark, 1), 2, True)
 
 
 @register("g1_static_only", bfs_sql("SELECT * FROM part_calls WHERE provenance IN ('definite', 'probable')", "SELECT 1::BIGINT AS node", 3, True, B.PART_CALLS))
 def g1_static(spark, sf):
-    return G.levels(G.followed(B.part_calls(spark, sf), static_only=True), _one(spark, 1), 3, True)
+    return G.levels(cut(G.followed(B.part_calls(spark, sf), static_only=True)), _one(spark, 1), 3, True)
 
 
 @register("g2_forward_bfs", bfs_sql("SELECT * FROM supply_calls", "SELECT 'cust:1' AS node UNION SELECT 'cust:2'", 3, False, B.SUPPLY_CALLS))
 def g2(spark, sf):
     seeds = spark.range(1, 3).select(F.concat(F.lit("cust:"), "id").alias("node"))
-    return G.levels(G.followed(B.supply_calls(spark, sf)), seeds, 3)
+    return G.levels(cut(B.supply_rows(spark, sf).where("callee is not null").select("caller", "callee")), seeds, 3)
 
 
 _CANDIDATES = "candidates AS (SELECT DISTINCT s.l_partkey AS caller, p.p_partkey AS callee FROM lineitem s JOIN part p ON p.p_partkey = s.l_suppkey WHERE s.l_partkey <> p.p_partkey)"
@@ -46,12 +46,12 @@ def _candidates(spark, sf):
 
 @register("g3_ambiguous_callers", bfs_sql("SELECT caller, callee FROM part_calls UNION SELECT caller, callee FROM candidates", "SELECT 1::BIGINT AS node", 2, True, f"{B.PART_CALLS}, {_CANDIDATES}"))
 def g3(spark, sf):
-    return G.levels(G.followed(B.part_calls(spark, sf), candidates=_candidates(spark, sf)), _one(spark, 1), 2, True)
+    return G.levels(cut(G.followed(B.part_calls(spark, sf), candidates=_candidates(spark, sf))), _one(spark, 1), 2, True)
 
 
 @register("g4_ambiguous_callees", bfs_sql("SELECT caller, callee FROM part_calls UNION SELECT caller, callee FROM candidates", "SELECT 2::BIGINT AS node", 2, False, f"{B.PART_CALLS}, {_CANDIDATES}"))
 def g4(spark, sf):
-    return G.levels(G.followed(B.part_calls(spark, sf), candidates=_candidates(spark, sf)), _one(spark, 2), 2)
+    return G.levels(cut(G.followed(B.part_calls(spark, sf), candidates=_candidates(spark, sf))), _one(spark, 2), 2)
 
 
 def _impact_sql(direction: str, at: str, to: str) -> str:

@@ -56,6 +56,24 @@ def test_paths_are_shortest(spark):
             assert len(path) - 1 == far[a, b] and path[0] == a and path[-1] == b and all(p in pairs for p in zip(path, path[1:]))
 
 
+def test_walks_deal_edges_only_for_wide_frontiers(spark, monkeypatch):
+    made = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (made.append(df.columns), real(df))[1])
+    twice = [(n, m) for n in range(12) for m in (n + 1, n + 2)] * 2
+    edges = spark.createDataFrame(twice, "caller long, callee long").coalesce(1)
+    path = graph.flow(edges, [0, 6, 12, 3]).collect()
+    assert [(r.hops, r.found) for r in path if r.step == 0] == [(3, True), (3, True), (None, False)]
+    assert made.count(["caller", "callee"]) == 1 and ["node", "next"] not in made
+    seeds = spark.createDataFrame([(0,)], "node long")
+    near = {tuple(r) for r in graph.levels(edges, seeds, 3).collect()}
+    monkeypatch.setattr(graph, "SMALL", 0)
+    assert {tuple(r) for r in graph.levels(edges, seeds, 3).collect()} == near == {(1, 1), (1, 2), (2, 3), (2, 4), (3, 5), (3, 6)}
+    assert made.count(["node", "next"]) == 1
+    chosen = graph.choose_symbol(spark.createDataFrame([("x", 11), ("x", 2), ("y", 12)], "name string, node long"), edges, seeds)
+    assert {(r.name, r.node) for r in chosen.collect()} == {("x", 2), ("y", 12)}
+
+
 def test_current_versions(spark):
     ok = '{"short": "x", "full": "y"}'
     chains = {
