@@ -342,6 +342,12 @@ def test_sources(spark, tmp_path):
     assert [r.cells for r in facts.markdown_table(spark, f"{tmp_path}/t.md").orderBy("line").collect()] == [["1", "a b"], ["2", ""]]
 
 
+def test_sources_are_dealt_before_they_are_parsed(spark):
+    files = spark.range(0, 64, 1, 1).select(F.concat(F.lit("m"), "id", F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.lit("def f():\n    return g()\n").alias("source"))
+    found = extract.extract(files)
+    assert found.count() == 128 and found.rdd.getNumPartitions() >= 4 and found.select(F.spark_partition_id()).distinct().count() >= 4
+
+
 def test_languages():
     facts_ = lambda language, text: {x[:4] + x[6:7] for x in extract.facts_of(language, text)}
     py = facts_("python", "from a.b import c\nfrom PyQt5 import q\nclass K:\n    def go(self):\n        for cb in self.subs:\n            cb(1)\n        self.subs.append(2)\n        sig.emit(3)\n\nsig.connect(self.on)\n")
